@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, quality, tokenfile, urlfilter, warc
+from . import bpe, decontam, html, quality, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_html_extraction": html.op3_html_extraction,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_ids": tokenfile.op6_token_ids,
     "op7_bpe": bpe.op7_bpe,
     "op10_url_filters": urlfilter.op10_url_filters,
