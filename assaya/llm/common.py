@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where no spark.checkpoint.dir is set (tests, a single machine).
 _OWN_DIR: list[str] = []
+_SENT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +44,26 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def ready(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, unless they find it on the path that they inherit."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    inherited = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    app = spark.sparkContext.applicationId
+    if root in map(os.path.abspath, inherited) or app in _SENT:
+        return
+    _SENT.add(app)
+    path = os.path.join(tempfile.mkdtemp(prefix="assaya-"), "assaya.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "assaya")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, quality, tokenfile, toxicity, urlfilter, warc
+from . import bpe, decontam, html, jaccard, passages, quality, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,11 +12,14 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_ids": tokenfile.op6_token_ids,
     "op7_bpe": bpe.op7_bpe,
+    "op8_substring_dedup": passages.op8_substring_dedup,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
+    "op9_ngram_jaccard": jaccard.ORACLE_SQL,
     "op10_url_filters": urlfilter.ORACLE_SQL,
 }

@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, then decontamination, then byte-level BPE."""
+"""The corpus pipeline: quality rules, near copies, repeated passages, benchmark leaks, then byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``docs`` unchanged. Null texts fail the quality
+rules. Near copies and repeated passages are found on five-word shingles at a similarity of 0.8.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaya.llm import bpe, decontam, quality
-from assaya.llm.common import table
+from assaya.llm import bpe, decontam, jaccard, passages, quality
+from assaya.llm.common import ready, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +20,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    ready(spark)
+    return jaccard.keep_one(docs, width=5, num=80, den=100)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds as well are cut out; a document without any word left goes."""
+    ready(spark)
+    return passages.remove_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -22,22 +39,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
+    ready(spark)
     return bpe.round_trips(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
     ("benchmark decontamination", decontamination),
     ("BPE encoding and decoding", bpe_round_trip),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
 
 
-#: The last stage's digests can't be expressed in SQL.
+#: Near copies, repeated passages and token digests can't be expressed in SQL; a brute-force version tests them.
 ORACLE_SQL = None
