@@ -59,7 +59,7 @@ class CountTree:
             self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), LEAF), axis=0))
 
     def search(self, point: np.ndarray, need) -> np.ndarray:
-        """Indices of points whose bound reaches ``need(size of the point)``; a node's need is that of its smallest point, so 0 size is used above the leaves' sizes."""
+        """Indices of the points whose bound reaches ``need`` of their size; a node has to reach the need of its smallest point."""
         at = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
             bound = np.minimum(self.levels[level][at], point).sum(1)
@@ -117,14 +117,14 @@ def _sets(width: int):
         size = 0
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary())], names=["doc_id", "members"])
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([count_vector(x[1]).astype(np.uint32).tobytes() for x in held], pa.binary()), pa.array([x[1].tobytes() for x in held], pa.binary())], names=["doc_id", "counts", "members"])
             held.clear()
             return out
 
         for i, words in word_sequences(batches):
-            held.append((i, shingle_set(words, width).tobytes()))
+            held.append((i, shingle_set(words, width)))
             size += len(held[-1][1])
-            if size > 4_000_000:
+            if size > 500_000:
                 yield batch()
                 size = 0
         if held:
@@ -133,52 +133,74 @@ def _sets(width: int):
     return run
 
 
-def _verified(num: int, den: int):
-    """Rows sorted by block: the block's query first (a null), then its members. Yields the pairs that link."""
-    ratio = num / (num + den)
-
-    def links(query: tuple, members: list[tuple]) -> list[tuple[int, int]]:
-        if query is None or not members:
-            return []
-        b, mine = query
-        tree = CountTree(np.stack([count_vector(m) for _, m in members]))
-        near = tree.search(count_vector(mine), lambda n: ratio * (len(mine) + n) - 1e-6)
-        return [(members[k][0], b) for k in near.tolist() if similar(mine, members[k][1], num, den)]
+def _in_blocks(links):
+    """Rows sorted by block: the block's document first (a null), then its partners. Yields the pairs that ``links`` keeps of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, query, members = None, None, []
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([y[0] for y in out], pa.int64()), pa.array([y[1] for y in out], pa.int64())], names=["a", "b"])
+
+        def close() -> list[tuple[int, int]]:
+            return [(members[k][0], key[0]) for k in links(query, [m for _, m in members])] if members and query is not None else []
+
         for x in batches:
             out: list[tuple[int, int]] = []
-            for b, salt, a, data in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
+            for b, salt, a, value in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
                 if (b, salt) != key or len(members) >= BLOCK:
-                    out += links(query, members)
+                    out += close()
                     members = []
                     if (b, salt) != key:
                         key, query = (b, salt), None
-                found = np.frombuffer(data, np.uint64)
                 if a is None:
-                    query = b, found
+                    query = value
                 else:
-                    members.append((a, found))
-            yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in out], pa.int64()), pa.array([y[1] for y in out], pa.int64())], names=["u", "v"])
-        out = links(query, members)
-        yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in out], pa.int64()), pa.array([y[1] for y in out], pa.int64())], names=["u", "v"])
+                    members.append((a, value))
+            yield batch(out)
+        yield batch(close())
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, as edges (u, v). A hot b is dealt out over as many salts as it has blocks of partners."""
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
-    salt = F.pmod(F.xxhash64("a"), F.lit(1 << 20))
-    # The number of salts depends on b alone; partners carry the full salt and are sorted by it.
-    queries = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1))).select("b", "salt")
-    queries = queries.join(sets.select(F.col("doc_id").alias("b"), "members"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "members")
-    hot = shares.where("shares > 1")
-    dealt = pairs.join(hot, "b", "left").select("a", "b", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(salt, F.col("shares"))).cast("int").alias("salt"))
-    members = dealt.join(sets.select(F.col("doc_id").alias("a"), "members"), "a").select("b", "salt", "a", "members")
+def _near(num: int, den: int):
+    """Which count vectors reach the overlap with the query's that a link would need."""
+
+    def links(query: bytes, members: list[bytes]) -> list[int]:
+        point = np.frombuffer(query, np.uint32).astype(np.int64)
+        tree = CountTree(np.stack([np.frombuffer(m, np.uint32) for m in members]).astype(np.int64))
+        n = int(point.sum())
+        # The overlap is at most the smaller size; a pair links only with num / (num + den) of both sizes.
+        return tree.search(point, lambda size: num * (n + size) / (num + den) - 1e-6).tolist()
+
+    return links
+
+
+def _linked(num: int, den: int):
+    def links(query: bytes, members: list[bytes]) -> list[int]:
+        mine = np.frombuffer(query, np.uint64)
+        return [k for k, m in enumerate(members) if similar(mine, np.frombuffer(m, np.uint64), num, den)]
+
+    return links
+
+
+def _blocked(pairs: DataFrame, values: DataFrame, links) -> DataFrame:
+    """The pairs (a, b) that ``links`` keeps. A hot b is dealt out over as many salts as it has blocks of partners."""
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    queries = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("b", "salt")
+    queries = queries.join(values.select(F.col("doc_id").alias("b"), "value"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "value")
+    dealt = pairs.join(shares.where("shares > 1"), "b", "left").select("a", "b", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("shares"))).cast("int").alias("salt"))
+    members = dealt.join(values.select(F.col("doc_id").alias("a"), "value"), "a").select("b", "salt", "a", "value")
     rows = queries.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return rows.mapInArrow(_verified(num, den), "u long, v long")
+    return rows.mapInArrow(_in_blocks(links), "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, as edges (u, v): first by count vectors, then the rest on whole sets."""
+    near, near_path = written(_blocked(pairs, sets.select("doc_id", F.col("counts").alias("value")), _near(num, den)), "near")
+    out, _ = written(_blocked(near, sets.select("doc_id", F.col("members").alias("value")), _linked(num, den)), "links")
+    remove(pairs.sparkSession, near_path)
+    return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -203,23 +225,23 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["_id"], "left_semi")
-    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, members binary"), "sets")
+    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, members binary"), "sets")
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    edges, edges_path = written(verify(best, sets, num, den), "links")
-    labels, rest = components(edges), None
+    edges = verify(best, sets, num, den)
+    labels = components(edges)
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         apart = apart.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    rest, rest_path = written(verify(apart, sets, num, den), "links")
+    rest = verify(apart, sets, num, den)
     if not rest.isEmpty():
         labels = components(edges.unionByName(rest))
 
     label = F.coalesce("label", "rep")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").where("members > 1 or label is not null").select("s1", "s2", label.alias("component_id"))
     named, _ = written(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "named")
-    remove(spark, pairs_path, ids_path, sets_path, edges_path, rest_path, classes_path)
+    remove(spark, pairs_path, ids_path, sets_path, classes_path)
     out = lean.select("doc_id", "n_shingles", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(named, ["s1", "s2", "salt"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))
