@@ -2,9 +2,11 @@
 
 1. A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets
    form a class; only the class's smallest doc_id goes on.
-2. Two sets whose Jaccard similarity is at least t share one of their first n - ceil(t n) + 1
-   shingles in hash order. Documents meet at these shingles, and each is paired with the first
-   and with the previous document there: never all pairs of a group.
+2. Two sets whose Jaccard similarity is at least t share k of their first n - ceil(t n) + k
+   shingles in hash order (or all that a link needs, if fewer). Documents meet at these shingles,
+   and each is paired with the first and with the previous document there: never all pairs of a
+   group. Shingles that many sets lead with are left out where fewer than k of a document's are
+   such, since a link then shows at another one.
 3. Shingles are hashed into groups. The group counts of a block's documents are points of an
    R-tree; summing the minima of a query's coordinates and those of a node's upper corner bounds
    the overlap with everything below the node, so that nodes and points out of reach are skipped.
@@ -36,6 +38,8 @@ from .shingles import mix, shingle_set, word_sequences
 
 #: Groups that shingles are hashed into: the dimensions of a point.
 GROUPS = 64
+#: A shingle that leads in more sets than this is hot; so many shingles are added to each prefix, less one, to make up for hot ones.
+HOT, SPARE = 50, 8
 #: Members of a block, and points of an R-tree leaf.
 BLOCK, LEAF = 256, 16
 #: Most ids sent to every executor to pick out their texts; beyond it they are joined by shuffle.
@@ -97,7 +101,7 @@ def _described(width: int, num: int, den: int):
         for i, words in word_sequences(batches):
             s = shingle_set(words, width)
             n = len(s)
-            keys = s[: n - -(-num * n // den) + 1] if n else s
+            keys = s[: n - -(-num * n // den) + SPARE]
             sums = mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)
             xors = np.bitwise_xor.reduce(mix(s + np.uint64(2)), initial=np.uint64(0)).astype(np.int64)
             rows.append((i, n, int(sums), int(xors), keys))
@@ -147,7 +151,8 @@ def _in_blocks(links):
 
         for x in batches:
             out: list[tuple[int, int]] = []
-            for b, salt, a, value in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
+            for b, salt, a, value in zip(*(x.column(k).to_pylist() for k in range(3)), x.column(3), strict=True):
+                value = value.as_py()
                 if (b, salt) != key or len(members) >= BLOCK:
                     out += close()
                     members = []
@@ -203,6 +208,18 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _met(keyed: DataFrame, more) -> DataFrame:
+    """doc_id, key, the first document at the key, the previous one, and one more column."""
+    w = Window.partitionBy("key").orderBy("doc_id")
+    return keyed.select("doc_id", "key", F.first("doc_id").over(w).alias("head"), F.lag("doc_id").over(w).alias("prev"), more)
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not an _id of ``ids``, which is broadcast if it is small enough."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].cast("long") == ids["_id"], "left_anti")
+
+
 def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text): documents link when den * |a & b| >= num * |a | b|."""
     spark = docs.sparkSession
@@ -211,16 +228,22 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     lean, _ = written(base.drop("keys"), "signatures")
     able = base.where("n_shingles > 0 and doc_id is not null")
     classes, classes_path = written(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    copies = able.select("doc_id", "s1", "s2", "keys")
     shared = classes.where("members > 1").select("s1", "s2", "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = copies.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(shared, ["s1", "s2", "salt"], "left")
-    keyed = copies.where("rep is null or rep = doc_id").select("doc_id", F.explode("keys").alias("key"))
-
-    w = Window.partitionBy("key").orderBy("doc_id")
-    met = keyed.select("doc_id", F.first("doc_id").over(w).alias("head"), F.lag("doc_id").over(w).alias("prev")).where("prev is not null")
+    copies = able.select("doc_id", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(shared, ["s1", "s2", "salt"])
+    copies, copies_path = written(copies.where("rep <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "copies")
+    keyed = _without(able.select("doc_id", "keys"), copies).select("doc_id", F.explode("keys").alias("key"))
+
+    w = Window.partitionBy("key")
+    met = _met(keyed, F.count(F.lit(1)).over(w).alias("n_docs")).where("n_docs > 1")
+    met, met_path = written(met.withColumn("hot", F.col("n_docs") > HOT).drop("n_docs"), "met")
+    # Documents with many hot shingles in front meet at these as well; for the others a shingle that is not hot remains.
+    hot = met.where("hot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hot")).join(lean.select("doc_id", "n_shingles"), "doc_id")
+    hot = hot.where(F.col("n_hot") >= F.least(F.lit(SPARE), F.ceil(F.col("n_shingles") * num / den))).select("doc_id").distinct()
+    again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "key"), F.lit(True).alias("hot"))
+    met = met.where("not hot").unionByName(again).where("prev is not null")
     pairs = met.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).where("a <> b")
     pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    remove(spark, base_path)
+    remove(spark, base_path, met_path, copies_path)
 
     ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -249,9 +272,8 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without those of documents that link with one of a smaller doc_id in their component."""
-    gone, path = written(cluster(docs, width, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone, _ = written(cluster(docs, width, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "copies")
+    return _without(docs, gone)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

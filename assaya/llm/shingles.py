@@ -14,7 +14,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 #: Text bytes handled at a time.
-SLICE = 3_000_000
+SLICE = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
