@@ -5,8 +5,9 @@
 2. Two sets whose Jaccard similarity is at least t share k of their first n - ceil(t n) + k
    shingles in hash order (or all that a link needs, if fewer). Documents meet at these shingles,
    and each is paired with the first and with the previous document there: never all pairs of a
-   group. Shingles that many sets lead with are left out where fewer than k of a document's are
-   such, since a link then shows at another one.
+   group. Shingles that many sets lead with are left out where fewer than k - 1 of a document's are
+   such, since a link then shows at others. A pair has to meet at ``MEET`` shingles: smaller sets
+   than that link with equal ones only.
 3. Shingles are hashed into groups. The group counts of a block's documents are points of an
    R-tree; summing the minima of a query's coordinates and those of a node's upper corner bounds
    the overlap with everything below the node, so that nodes and points out of reach are skipped.
@@ -38,8 +39,9 @@ from .shingles import mix, shingle_set, word_sequences
 
 #: Groups that shingles are hashed into: the dimensions of a point.
 GROUPS = 64
-#: A shingle that leads in more sets than this is hot; so many shingles are added to each prefix, less one, to make up for hot ones.
-HOT, SPARE = 50, 8
+#: A shingle that leads in more sets than HOT is hot. SPARE is the number of shared leading shingles that
+#: a link guarantees (or all of its overlap, if that is smaller); MEET is how many of them a pair has to show.
+HOT, SPARE, MEET = 50, 16, 2
 #: Members of a block, and points of an R-tree leaf.
 BLOCK, LEAF = 256, 16
 #: Most ids sent to every executor to pick out their texts; beyond it they are joined by shuffle.
@@ -236,13 +238,13 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     w = Window.partitionBy("key")
     met = _met(keyed, F.count(F.lit(1)).over(w).alias("n_docs")).where("n_docs > 1")
     met, met_path = written(met.withColumn("hot", F.col("n_docs") > HOT).drop("n_docs"), "met")
-    # Documents with many hot shingles in front meet at these as well; for the others a shingle that is not hot remains.
+    # Documents with many hot shingles in front meet at these as well; for the others MEET shingles that are not hot remain.
     hot = met.where("hot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hot")).join(lean.select("doc_id", "n_shingles"), "doc_id")
-    hot = hot.where(F.col("n_hot") >= F.least(F.lit(SPARE), F.ceil(F.col("n_shingles") * num / den))).select("doc_id").distinct()
+    hot = hot.where(F.col("n_hot") > F.least(F.lit(SPARE), F.ceil(F.col("n_shingles") * num / den)) - MEET).select("doc_id").distinct()
     again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "key"), F.lit(True).alias("hot"))
     met = met.where("not hot").unionByName(again).where("prev is not null")
     pairs = met.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).where("a <> b")
-    pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= MEET), "pairs")
     remove(spark, base_path, met_path, copies_path)
 
     ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
