@@ -6,8 +6,9 @@
    shingles in hash order (or all that a link needs, if fewer). Documents meet at these shingles,
    and each is paired with the first and with the previous document there: never all pairs of a
    group. Shingles that many sets lead with are left out where fewer than k - 1 of a document's are
-   such, since a link then shows at others. A pair has to meet at ``MEET`` shingles: smaller sets
-   than that link with equal ones only.
+   such, since a link then shows at others. A pair has to meet at ``MEET`` shingles, or both
+   its ends have to with some other document; sets that are too small for that link with equal
+   ones only.
 3. Shingles are hashed into groups. The group counts of a block's documents are points of an
    R-tree; summing the minima of a query's coordinates and those of a node's upper corner bounds
    the overlap with everything below the node, so that nodes and points out of reach are skipped.
@@ -244,19 +245,21 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "key"), F.lit(True).alias("hot"))
     met = met.where("not hot").unionByName(again).where("prev is not null")
     pairs = met.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).where("a <> b")
-    pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= MEET), "pairs")
+    pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
     remove(spark, base_path, met_path, copies_path)
 
-    ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
+    strong = pairs.where(F.col("shared") >= MEET)
+    ids, ids_path = written(strong.select("a").unionByName(strong.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["_id"], "left_semi")
     sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, members binary"), "sets")
 
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    best = strong.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     edges = verify(best, sets, num, den)
     labels = components(edges)
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
+        apart = apart.join(F.broadcast(ids) if few else ids, apart[end] == ids["_id"], "left_semi")
         apart = apart.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     rest = verify(apart, sets, num, den)
