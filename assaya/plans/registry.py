@@ -1,6 +1,8 @@
-"""The queries of the engine and their SQL, side by side by key."""
+"""The queries of the engine and their SQL, by key."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from assaya.operators import behavior, relational, text
+
+QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES
+ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL
