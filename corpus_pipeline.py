@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Near copies, repeated passages and token digests can't be expressed in SQL; a brute-force version tests them.
+#: Near copies, repeated passages and token digests can't be expressed in SQL; tests check what is kept.
 ORACLE_SQL = None
