@@ -6,14 +6,18 @@
    shingles in hash order (or all that a link needs, if fewer). Documents meet at these shingles,
    and each is paired with the first and with the previous document there: never all pairs of a
    group. Shingles that many sets lead with are left out where fewer than k - 1 of a document's are
-   such, since a link then shows at others. A pair has to meet at ``MEET`` shingles, or both
-   its ends have to with some other document; sets that are too small for that link with equal
-   ones only.
+   such, since a link then shows at others. A pair has to meet at ``MEET`` shingles; sets that are
+   too small for that link with equal ones only. Sizes that can't link are left out.
 3. Shingles are hashed into groups. The group counts of a block's documents are points of an
    R-tree; summing the minima of a query's coordinates and those of a node's upper corner bounds
    the overlap with everything below the node, so that nodes and points out of reach are skipped.
 4. What is left is verified on the whole sets. The best pair of each document comes first; then
    the pairs whose ends are not in one component yet.
+5. No link may be lost to step 2's choice of partners. Where documents of different components
+   still meet, all their pairs are tried: at shingles with up to ``HOT`` documents directly; for
+   documents that lead with many hot shingles at the first n - ceil(t n) + 1 shingles in order of
+   rarity among those documents. Pairs within a component, such as a large group of copies, are
+   never made.
 
 An R-tree alone would have to compare nearly all pairs here, because the counts of unrelated texts
 of one length and language are close in every coordinate; so step 2 finds the candidates and the
@@ -212,9 +216,55 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _met(keyed: DataFrame, more) -> DataFrame:
-    """doc_id, key, the first document at the key, the previous one, and one more column."""
+    """doc_id, n, key, the first document at the key, the previous one, and one more column."""
     w = Window.partitionBy("key").orderBy("doc_id")
-    return keyed.select("doc_id", "key", F.first("doc_id").over(w).alias("head"), F.lag("doc_id").over(w).alias("prev"), more)
+    who = F.struct("doc_id", "n")
+    return keyed.select("doc_id", "n", "key", F.first(who).over(w).alias("head"), F.lag(who).over(w).alias("prev"), more)
+
+
+def _sizes(a: str, b: str, num: int, den: int):
+    """Whether sets of sizes ``a`` and ``b`` can link at all."""
+    a, b = F.col(a).cast("long"), F.col(b).cast("long")
+    return (den * F.least(a, b)) >= (num * F.greatest(a, b))
+
+
+def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``keyed`` (doc_id, n, key) in different components that meet at ``meet`` keys and whose sizes can link."""
+    rows = keyed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rows, path = written(rows.join(mixed, "key", "left_semi"), "mixed")
+    a, b = (rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"of_{x}")) for x in "ab")
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & _sizes("n_a", "n_b", num, den))
+    out, _ = written(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= meet).select("a", "b"), "apart")
+    remove(keyed.sparkSession, path)
+    return out
+
+
+def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n, key: the first n - ceil(t n) + 1 shingles of each set, the rarest of the table first."""
+    each = sets.mapInArrow(_members, "doc_id long, which long, n int, key long")
+    counted = each.withColumn("n_docs", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "which").orderBy("n_docs", "key"))
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    return ranked.where("n_docs > 1").select("doc_id", "n", "key")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, which set of the document, n, key) of (doc_id, members)."""
+    for x in batches:
+        for i, m in zip(x.column("doc_id").to_pylist(), x.column("members"), strict=True):
+            keys = np.frombuffer(m.as_py(), np.int64)
+            which = int(mix(keys.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int64)), pa.array(np.full(len(keys), which, np.int64)), pa.array(np.full(len(keys), len(keys), np.int32)), pa.array(keys)], names=["doc_id", "which", "n", "key"])
+
+
+def _sets_of(rows: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
+    """doc_id, counts, members of the documents in ``pairs`` (a, b), and the paths to remove."""
+    ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["_id"], "left_semi")
+    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, members binary"), "sets")
+    return sets, [ids_path, sets_path]
 
 
 def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,42 +284,64 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     shared = classes.where("members > 1").select("s1", "s2", "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     copies = able.select("doc_id", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(shared, ["s1", "s2", "salt"])
     copies, copies_path = written(copies.where("rep <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    keyed = _without(able.select("doc_id", "keys"), copies).select("doc_id", F.explode("keys").alias("key"))
+    n = F.col("n_shingles").cast("int").alias("n")
+    keyed = _without(able.select("doc_id", n, "keys"), copies).select("doc_id", "n", F.explode("keys").alias("key"))
 
     w = Window.partitionBy("key")
     met = _met(keyed, F.count(F.lit(1)).over(w).alias("n_docs")).where("n_docs > 1")
     met, met_path = written(met.withColumn("hot", F.col("n_docs") > HOT).drop("n_docs"), "met")
     # Documents with many hot shingles in front meet at these as well; for the others MEET shingles that are not hot remain.
-    hot = met.where("hot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hot")).join(lean.select("doc_id", "n_shingles"), "doc_id")
-    hot = hot.where(F.col("n_hot") > F.least(F.lit(SPARE), F.ceil(F.col("n_shingles") * num / den)) - MEET).select("doc_id").distinct()
-    again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "key"), F.lit(True).alias("hot"))
-    met = met.where("not hot").unionByName(again).where("prev is not null")
-    pairs = met.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("head", "prev"))).alias("b")).where("a <> b")
-    pairs, pairs_path = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    remove(spark, base_path, met_path, copies_path)
-
-    strong = pairs.where(F.col("shared") >= MEET)
-    ids, ids_path = written(strong.select("a").unionByName(strong.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["_id"], "left_semi")
-    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, members binary"), "sets")
-
-    best = strong.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    hot = met.where("hot").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("n_hot"))
+    hot = hot.where(F.col("n_hot") > F.least(F.lit(SPARE), F.ceil(F.col("n") * num / den)) - MEET).select("doc_id")
+    hot, hot_path = written(hot, "hot")
+    again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "n", "key"), F.lit(True).alias("hot"))
+    pairs = met.where("not hot").unionByName(again).where("prev is not null")
+    pairs = pairs.select(F.col("doc_id").alias("a"), "n", F.explode(F.array_distinct(F.array("head", "prev"))).alias("to")).select("a", "n", F.col("to.doc_id").alias("b"), F.col("to.n").alias("n_b"))
+    pairs = pairs.where(F.col("a") != F.col("b")).where(_sizes("n", "n_b", num, den)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs, pairs_path = written(pairs.where(F.col("shared") >= MEET), "pairs")
+    remove(spark, base_path, copies_path)
+
+    sets, used = _sets_of(rows, pairs, width)
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     edges = verify(best, sets, num, den)
     labels = components(edges)
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        apart = apart.join(F.broadcast(ids) if few else ids, apart[end] == ids["_id"], "left_semi")
         apart = apart.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     rest = verify(apart, sets, num, den)
     if not rest.isEmpty():
-        labels = components(edges.unionByName(rest))
+        edges = edges.unionByName(rest)
+        labels = components(edges)
+    remove(spark, *used)
+
+    # Pairs that the choice of partners left out: first where few documents meet, then among those with many hot shingles.
+    tried = pairs.select("a", "b")
+    apart = _apart(met.where("not hot").select("doc_id", "n", "key"), labels, MEET, num, den).join(tried, ["a", "b"], "left_anti")
+    if not apart.isEmpty():
+        sets, used = _sets_of(rows, apart, width)
+        rest = verify(apart, sets, num, den)
+        remove(spark, *used)
+        if not rest.isEmpty():
+            edges = edges.unionByName(rest)
+            labels = components(edges)
+    keyed = met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "n", "key")
+    keyed = keyed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = keyed.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    if not mixed.isEmpty():
+        sets, used = _sets_of(rows, mixed, width)
+        apart = _apart(_rarest(sets, num, den), labels, 1, num, den).join(tried, ["a", "b"], "left_anti")
+        rest = verify(apart, sets, num, den)
+        remove(spark, *used)
+        if not rest.isEmpty():
+            labels = components(edges.unionByName(rest))
+    remove(spark, met_path, hot_path)
 
     label = F.coalesce("label", "rep")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").where("members > 1 or label is not null").select("s1", "s2", label.alias("component_id"))
     named, _ = written(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "named")
-    remove(spark, pairs_path, ids_path, sets_path, classes_path)
+    remove(spark, pairs_path, classes_path)
     out = lean.select("doc_id", "n_shingles", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(named, ["s1", "s2", "salt"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))

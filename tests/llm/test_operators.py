@@ -213,6 +213,34 @@ def test_jaccard_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard.cluster(docs_of(spark, rows)).collect()} == label
 
 
+@pytest.mark.parametrize("hot", [50, 3])
+def test_jaccard_loses_no_link_between_near_misses(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng = random.Random(hot)
+    families = []
+    for f in range(6):
+        families.append([[f"f{f}w{k}" for k in range(150)]])
+    rows = []
+    common = [f"c{k}" for k in range(60)]
+    for k in range(240):
+        family = families[rng.randrange(6)]
+        w = list(rng.choice(family))
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(150)] = f"x{rng.random()}"
+        family.append(w)
+        rows.append((rng.randrange(10**9), " ".join((common if k % 2 else []) + w), "s"))
+    rows += [(rng.randrange(10**9), " ".join([*common, *(f"z{rng.random()}" for _ in range(6))]), "s") for _ in range(80)]
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t, _ in rows}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    assert 20 < len(set(label.values())) < len(rows) - 20
+    assert {r.doc_id: r.component_id for r in jaccard.cluster(docs_of(spark, rows)).collect()} == label
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200), (300, 200), (5, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
