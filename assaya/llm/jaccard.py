@@ -52,6 +52,8 @@ BLOCK, LEAF = 256, 16
 #: Most ids sent to every executor to pick out their texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
 SALTS = 32
+#: Counters of shingle rarity (8 MB in all, whatever the input) and how many of them travel in a row.
+SLOTS, CHUNK = 1 << 20, 1 << 12
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -240,22 +242,46 @@ def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int) -
     return out
 
 
-def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, n, key: the first n - ceil(t n) + 1 shingles of each set, the rarest of the table first."""
-    each = sets.mapInArrow(_members, "doc_id long, which long, n int, key long")
-    counted = each.withColumn("n_docs", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", "which").orderBy("n_docs", "key"))
-    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    return ranked.where("n_docs > 1").select("doc_id", "n", "key")
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, counts): how many of a task's shingles fall into each slot."""
+    loads = np.zeros(SLOTS, np.int64)
+    for x in batches:
+        for m in x.column("members"):
+            loads += np.bincount((np.frombuffer(m.as_py(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    found = loads.reshape(-1, CHUNK)
+    used = np.flatnonzero(found.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([found[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, which set of the document, n, key) of (doc_id, members)."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, counts) with the counts of each chunk of a partition added up."""
+    sums: dict[int, np.ndarray] = {}
     for x in batches:
-        for i, m in zip(x.column("doc_id").to_pylist(), x.column("members"), strict=True):
-            keys = np.frombuffer(m.as_py(), np.int64)
-            which = int(mix(keys.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int64)), pa.array(np.full(len(keys), which, np.int64)), pa.array(np.full(len(keys), len(keys), np.int32)), pa.array(keys)], names=["doc_id", "which", "n", "key"])
+        for chunk, counts in zip(x.column("chunk").to_pylist(), x.column("counts"), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n, key: the first n - ceil(t n) + 1 shingles of each set, the rarest of the table first.
+
+    Rarity is the load of a shingle's slot in a table of ``SLOTS`` counters, which is all that travels.
+    Any order that all sets have in common keeps every link; a fuller table only orders less sharply.
+    """
+    loads = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
+    for r in sets.mapInArrow(_loads, "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
+        loads[r.chunk] = np.frombuffer(r.counts, np.int64)
+    table = sets.sparkSession.sparkContext.broadcast(loads.ravel())
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i, m in zip(x.column("doc_id").to_pylist(), x.column("members"), strict=True):
+                keys = np.frombuffer(m.as_py(), np.uint64)
+                n = len(keys)
+                keys = keys[np.lexsort((keys, table.value[keys % np.uint64(SLOTS)]))[: n - -(-num * n // den) + 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int64)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys)], names=["doc_id", "n", "key"])
+
+    return sets.mapInArrow(first, "doc_id long, n int, key long")
 
 
 def _sets_of(rows: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
