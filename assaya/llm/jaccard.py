@@ -16,7 +16,7 @@
 5. No link may be lost to step 2's choice of partners. Where documents of different components
    still meet, all their pairs are tried: at shingles with up to ``HOT`` documents directly; for
    documents that lead with many hot shingles at the first n - ceil(t n) + 1 shingles in order of
-   rarity among those documents. Pairs within a component, such as a large group of copies, are
+   rarity among those documents, through an R-tree where more than ``HOT`` meet. Pairs within a component, such as a large group of copies, are
    never made.
 
 An R-tree alone would have to compare nearly all pairs here, because the counts of unrelated texts
@@ -230,14 +230,70 @@ def _sizes(a: str, b: str, num: int, den: int):
     return (den * F.least(a, b)) >= (num * F.greatest(a, b))
 
 
-def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``keyed`` (doc_id, n, key) in different components that meet at ``meet`` keys and whose sizes can link."""
+def _across(num: int, den: int):
+    """Rows (key, lo, hi, upper, doc_id, label, counts) sorted by block. Yields the pairs (a, b) of different labels in a block, one of the lower and one of the upper part, whose count vectors reach the overlap a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def close() -> pa.RecordBatch:
+            ids, labels = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
+            points = np.stack([np.frombuffer(h[3], np.uint32) for h in held]).astype(np.int64)
+            upper = np.array([h[0] for h in held])
+            within = block[1] == block[2]
+            asked, stored = (np.arange(len(held)),) * 2 if within else (np.flatnonzero(upper), np.flatnonzero(~upper))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            if len(asked) and len(stored):
+                tree = CountTree(points[stored])
+                for q in asked:
+                    n = int(points[q].sum())
+                    found = stored[tree.search(points[q], lambda size: num * (n + size) / (num + den) - 1e-6)]  # noqa: B023
+                    found = found[labels[found] != labels[q]]
+                    found = found[ids[found] < ids[q]] if within else found
+                    left.append(np.full(len(found), ids[q]))
+                    right.append(ids[found])
+            a, b = np.concatenate(left), np.concatenate(right)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+        for x in batches:
+            for *at, up, i, label, counts in zip(*(x.column(k).to_pylist() for k in range(7)), strict=True):
+                if at != block:
+                    if held:
+                        yield close()
+                    block, held = at, []
+                held.append((up, i, label, counts))
+        if held:
+            yield close()
+
+    return run
+
+
+def _trees(rows: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``rows`` (key, doc_id, label, n_docs) that an R-tree over each key's count vectors keeps.
+
+    A key's documents are dealt into parts of about ``BLOCK``; a task has two parts at a time, and only what the tree keeps leaves it.
+    """
+    shares = F.ceil(F.col("n_docs") / BLOCK).cast("int")
+    dealt = rows.join(counts, "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), shares).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") >= F.col("other")).alias("upper"), "doc_id", "label", "counts")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
+
+
+def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int, counts: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of ``keyed`` (doc_id, n, key) in different components that meet at ``meet`` keys and whose sizes can link.
+
+    With ``counts`` (doc_id, counts), pairs at keys of more than ``HOT`` documents come from R-trees, which leave out those whose vectors exclude a link; ``meet`` has to be 1 then.
+    """
     rows = keyed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rows, path = written(rows.join(mixed, "key", "left_semi"), "mixed")
-    a, b = (rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"of_{x}")) for x in "ab")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n_docs")).where("low <> high").select("key", "n_docs")
+    rows, path = written(rows.join(mixed, "key"), "mixed")
+    few = rows if counts is None else rows.where(F.col("n_docs") <= HOT)
+    a, b = (few.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"of_{x}")) for x in "ab")
     met = a.join(b, (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")) & _sizes("n_a", "n_b", num, den))
-    out, _ = written(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= meet).select("a", "b"), "apart")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= meet).select("a", "b")
+    if counts is not None:
+        met = met.unionByName(_trees(rows.where(F.col("n_docs") > HOT), counts, num, den)).distinct()
+    out, _ = written(met, "apart")
     remove(keyed.sparkSession, path)
     return out
 
@@ -320,7 +376,9 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     hot = met.where("hot").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("n_hot"))
     hot = hot.where(F.col("n_hot") > F.least(F.lit(SPARE), F.ceil(F.col("n") * num / den)) - MEET).select("doc_id")
     hot, hot_path = written(hot, "hot")
-    again = _met(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "n", "key"), F.lit(True).alias("hot"))
+    led, led_path = written(met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "n", "key"), "led")
+    remove(spark, hot_path)
+    again = _met(led, F.lit(True).alias("hot"))
     pairs = met.where("not hot").unionByName(again).where("prev is not null")
     pairs = pairs.select(F.col("doc_id").alias("a"), "n", F.explode(F.array_distinct(F.array("head", "prev"))).alias("to")).select("a", "n", F.col("to.doc_id").alias("b"), F.col("to.n").alias("n_b"))
     pairs = pairs.where(F.col("a") != F.col("b")).where(_sizes("n", "n_b", num, den)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
@@ -351,18 +409,17 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
         if not rest.isEmpty():
             edges = edges.unionByName(rest)
             labels = components(edges)
-    keyed = met.where("hot").join(hot, "doc_id", "left_semi").select("doc_id", "n", "key")
-    keyed = keyed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    keyed = led.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     mixed = keyed.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     if not mixed.isEmpty():
         sets, used = _sets_of(rows, mixed, width)
-        apart = _apart(_rarest(sets, num, den), labels, 1, num, den).join(tried, ["a", "b"], "left_anti")
+        apart = _apart(_rarest(sets, num, den), labels, 1, num, den, sets.select("doc_id", "counts")).join(tried, ["a", "b"], "left_anti")
         rest = verify(apart, sets, num, den)
         remove(spark, *used)
         if not rest.isEmpty():
             labels = components(edges.unionByName(rest))
-    remove(spark, met_path, hot_path)
+    remove(spark, met_path, led_path)
 
     label = F.coalesce("label", "rep")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").where("members > 1 or label is not null").select("s1", "s2", label.alias("component_id"))
