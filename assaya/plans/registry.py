@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaya.operators import behavior, relational, text
+from assaya.operators import behavior, ledger, relational, text
 
-QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES
-ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL
+QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES | ledger.QUERIES
+ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL | ledger.ORACLE_SQL
