@@ -414,9 +414,10 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     mixed = keyed.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     if not mixed.isEmpty():
         sets, used = _sets_of(rows, mixed, width)
-        apart = _apart(_rarest(sets, num, den), labels, 1, num, den, sets.select("doc_id", "counts")).join(tried, ["a", "b"], "left_anti")
+        rarest, rarest_path = written(_rarest(sets, num, den), "rarest")
+        apart = _apart(rarest, labels, 1, num, den, sets.select("doc_id", "counts")).join(tried, ["a", "b"], "left_anti")
         rest = verify(apart, sets, num, den)
-        remove(spark, *used)
+        remove(spark, rarest_path, *used)
         if not rest.isEmpty():
             labels = components(edges.unionByName(rest))
     remove(spark, met_path, led_path)
