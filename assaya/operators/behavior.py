@@ -50,23 +50,33 @@ def edges(rows: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     return one.groupBy("left_id", "right_id").agg(F.min_by("signal", "rank").alias("signal"))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label: min-label propagation with pointer jumping, checkpointed each round until nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the smallest node of its component), by contraction, checkpointed each round.
+
+    In each round every node points to its smallest neighbour, pointers are followed to their ends,
+    and links are rewritten to what their ends point to. Rounds go on until no link is left.
+    """
     spark = links.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assaya-"))
-    both = links.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        new = labels.join(seen, labels["node"] == seen["u"], "left").join(up, "label", "left").select("node", F.least("label", F.coalesce("near", "label"), F.coalesce("higher", "label")).alias("label")).checkpoint()
-        if labels.exceptAll(new).isEmpty():
-            break
-        labels = new
+    u, v = F.col("left_id"), F.col("right_id")
+    left = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct().checkpoint()
+    labels = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
+    left = left.where("u <> v")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("p")).checkpoint()
+        while True:
+            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+            if parent.join(up.where("p <> pp"), "p", "left_semi").isEmpty():
+                break
+            parent = parent.join(up, "p").select("node", F.col("pp").alias("p")).checkpoint()
+        labels = labels.join(parent.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")).checkpoint()
+        a, b = parent.select(F.col("node").alias("u"), F.col("p").alias("pu")), parent.select(F.col("node").alias("v"), F.col("p").alias("pv"))
+        ends = left.join(a, "u").join(b, "v").where("pu <> pv")
+        left = ends.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct().checkpoint()
     return labels
 
 
