@@ -19,6 +19,7 @@ DIALECT = {
     "LINES": (r"split(\1, chr(10), -1)", r"string_split(\1, chr(10))"),
     "REPLACE_ALL": (r"regexp_replace(\1)", r"regexp_replace(\1, 'g')"),
     "SIZE": ("size", "len"),
+    "SERIES": ("sequence", "generate_series"),
     "DISTINCT_OF": ("array_distinct", "list_distinct"),
     "COMMON": ("array_intersect", "list_intersect"),
     "WORDS_OF": (r"regexp_extract_all(lower(\1), '[a-z][a-z0-9_]*', 0)", r"regexp_extract_all(lower(\1), '[a-z][a-z0-9_]*')"),
@@ -46,6 +47,7 @@ SQL = {
     "lexical_overlap": "with w as (select conv_id, turn, DISTINCT_OF(WORDS_OF(coalesce(text, ''))) as ws from {conversations}) select a.conv_id, a.turn, b.turn as next_turn, case when SIZE(a.ws) = 0 or SIZE(b.ws) = 0 then 0e0 else round(1e0 * SIZE(COMMON(a.ws, b.ws)) / least(SIZE(a.ws), SIZE(b.ws)), 6) end as overlap from w a join w b on a.conv_id = b.conv_id and b.turn = a.turn + 1",
     "retrieval_tokens": "select item_id, count(distinct t) as n from (select item_id, EXPLODE(WORDS_OF(coalesce(text, ''))) as t from {benchmark}) as x where length(t) > 1 group by item_id",
     "nearest_name": "with declared as (select distinct lower(substr(p_type, 1, 12)) as name from {part}), seen as (select distinct lower(substr(p_name, 1, 12)) as name from {part} where p_partkey % 20 = 0), c as (select s.name, d.name as declared, levenshtein(s.name, d.name) as distance from seen s join declared d on abs(length(s.name) - length(d.name)) <= 8) select name, declared, cast(distance as bigint) as distance from (select *, row_number() over (partition by name order by distance, declared) as k from c) as x where k = 1",
+    "finding_evidence_overlap_all": f"with {FINDINGS}, {UNIQUE}, evidence as (select concat('src/f', cast(o_custkey % 50 as varchar(20)), '.py') as file_path, concat('h', cast(o_custkey % 50 as varchar(20))) as source_hash, cast(o_orderkey % 5000 as bigint) as s, cast(o_orderkey % 5000 + 40 as bigint) as e from {{orders}}), f as (select finding_id, file_path, source_hash, start_off, end_off, EXPLODE(SERIES(cast(floor((start_off - 40) / 1e2) as bigint), cast(floor(end_off / 1e2) as bigint))) as bin from one), x as (select *, cast(floor(s / 1e2) as bigint) as bin from evidence) select f.finding_id, count(*) as evidence_count from f join x on f.file_path = x.file_path and f.source_hash = x.source_hash and f.bin = x.bin and x.e >= f.start_off and x.s <= f.end_off group by f.finding_id",
     "completeness": f"with {FINDINGS}, s as (select file_path, count(*) as scanned, count(*) filter (where n_counter = 3 and c = 3) as reasons from findings group by file_path) select file_path, case when scanned = 0 then 'abstained' when reasons > 0 then 'partial' else 'complete' end as status from s",
     # ledger
     "touched_paths": f"with {EVENTS} select distinct path from ev where kind = 'mutation' and succeeded",

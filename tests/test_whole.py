@@ -1,6 +1,8 @@
 import random
 
-from assaya.operators import behavior
+import pyarrow.parquet as pq
+
+from assaya.operators import behavior, ledger
 
 
 def test_components_of_long_chains(spark):
@@ -11,3 +13,26 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([x for c in chains for x in zip(c, c[1:])], "left_id string, right_id string")
     got = {r.node: r.label for r in behavior.components(links).collect()}
     assert got == {n: min(c) for c in chains for n in c}
+
+
+def rows_of(name):
+    return pq.read_table(f"/root/testdata/sf0.001/{name}.parquet").to_pylist()
+
+
+def test_evidence_of_all_orders(spark):
+    spans = {}
+    for x in rows_of("lineitem"):
+        at, key = x["l_orderkey"] % 5000, f"{x['l_orderkey']:08d}-{x['l_linenumber']}-{x['l_partkey']}"
+        spans.setdefault(key, []).append((x["l_suppkey"] % 50, at, int(at + x["l_quantity"])))
+    evidence = {}
+    for x in rows_of("orders"):
+        evidence.setdefault(x["o_custkey"] % 50, []).append(x["o_orderkey"] % 5000)
+    want = {}
+    for key, found in spans.items():
+        place = min(found, key=lambda v: f"src/f{v[0]}.py")[0]
+        start, end = min(v[1] for v in found), max(v[2] for v in found)
+        n = sum(s + 40 >= start and s <= end for s in evidence.get(place, []))
+        if n:
+            want[key] = n
+    got = {r.finding_id: r.evidence_count for r in ledger.QUERIES["finding_evidence_overlap_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
