@@ -36,3 +36,12 @@ def test_evidence_of_all_orders(spark):
             want[key] = n
     got = {r.finding_id: r.evidence_count for r in ledger.QUERIES["finding_evidence_overlap_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_whole_names_of_all_parts(spark, tmp_path):
+    rows = [(1, "brass fitting left", "brass fitting right"), (2, "brass fitting right", "steel"), (3, "a name far longer than any that is declared", "steel")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.name: (r.declared, r.distance) for r in ledger.QUERIES["nearest_name_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {n for _, n, _ in rows}
+    assert got["brass fitting right"] == ("brass fitting right", 0)
+    assert got["brass fitting left"][0] == "brass fitting right"
