@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where no spark.checkpoint.dir is set (tests, a single machine).
 _OWN_DIR: list[str] = []
@@ -15,9 +16,11 @@ _SENT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="assaya-"))
         found = f"file://{_OWN_DIR[0]}"
@@ -39,11 +42,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back; cuts lineage and survives lost executors."""
+    ready(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Most rows that are broadcast to be left out; beyond it they are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(rows: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """The ``rows`` that match none of ``gone`` (a written table of ids), which is broadcast if it is small enough."""
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
 def ready(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, unless they find it on the path that they inherit."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -27,21 +27,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of ``base``; only those that a slice of usual size needs are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        each = np.full(max(n, SLICE) + 4096, base, np.uint64)
+        each = np.full(max(n, SLICE + 4096), base, np.uint64)
         each[0] = 1
-        have = _POWERS[base] = np.cumprod(each)
+        have = np.cumprod(each)
+        if len(have) <= 3 * SLICE:
+            _POWERS[base] = have
     return have
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (a run of bytes other than ASCII white space, A-Z lower-cased) of all texts, and the words of each text.
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (a run of bytes other than ``between``, by default ASCII white space; A-Z lower-cased) of all texts, and the words of each text.
 
     A word's hash is a polynomial in its bytes, taken from one running sum over all texts, and mixed.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])

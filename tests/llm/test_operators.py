@@ -91,26 +91,6 @@ def test_main_text():
     assert html.main_text("<article><p>cut of", tree) == "cut of"
 
 
-def test_decontamination_against_brute_force():
-    rng = random.Random(1)
-    word = lambda: rng.choice("abcd")
-    texts = [" ".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(40)]
-    q = decontam.Queries([(k, " ".join(word() for _ in range(rng.randrange(0, 6)))) for k in range(30)])
-    shard = decontam.Shard(**decontam.build_shard(list(range(40)), [t.encode() for t in texts], q.terms))
-    planned = decontam.plan(q, np.array([len(shard.at(t)) for t in range(len(q.terms))]), 4)
-    got = {(item, d, s) for item, d, s, _ in decontam.search_shard(shard, planned)}
-    names = {v: k.decode() for k, v in q.terms.items()}
-    want = set()
-    for item, start, n in q.phrases(4):
-        phrase = [names[t] for t in q.items[item][start : start + n]]
-        for d, t in enumerate(texts):
-            w = t.split()
-            want |= {(item, d, s) for s in range(len(w) - n + 1) if w[s : s + n] == phrase}
-    assert got == want
-    near = shard.near(np.array([q.terms[b"a"], q.terms[b"d"]]), np.array([0, 1]), 3)
-    assert len(near) and (near[:, 1] - near[:, 0] <= 3).all()
-
-
 def merges_of(rng, letters):
     bytes_of, pairs = {i: bytes([97 + i]) for i in range(letters)}, []
     for _ in range(60):
