@@ -1,13 +1,16 @@
 """Byte-level BPE: an encoder that works as a bounded-lookahead transducer, and an incremental decoder.
 
+A text is fed to a ``Stream`` in pieces of ``PIECE`` characters. What can no longer change leaves it
+at once: everything before a space between two other characters, since no pretoken spans such a
+place; in a stretch without one, every pretoken that ends well before what has been fed; and inside
+a pretoken that does not end, every token that ends a lookahead before it (``Transducer``). So a
+stream holds a constant number of characters, whatever the text.
+
 ``Merges`` is a merge list. Its sufficient lookahead is computed once: a merge may be undone by
 what follows only through a chain of merges of ever higher priority, each of which takes one of
 the pieces of the merge before it as its left half; the longest such chain bounds the bytes that
-can matter. ``Transducer`` holds at most a constant number of bytes (three times the lookahead or
-so) and emits a token as soon as it ends that far before the end of what has been fed.
-
-Texts are first cut at every space between two non-space characters; no pretoken spans such a
-cut, so the pieces can be encoded apart and frequent ones are remembered (up to a fixed number).
+can matter. Pretokens that have left a stream are merged in batches, and frequent ones are
+remembered up to ``REMEMBER_BYTES``.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded one by one; null
 doc_ids are carried along; an empty table gives an empty result; other columns are not read.
@@ -33,8 +36,12 @@ from .common import table
 
 #: The pretoken pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most pieces remembered by each of a worker's two generations.
-REMEMBER = 500_000
+#: About the bytes that each of two generations of remembered pieces, and of pretokens, may take in a worker.
+REMEMBER_BYTES = 24_000_000
+#: Characters fed to a stream at a time; a stretch of as many without a safe cut is cut at pretokens.
+PIECE = 1 << 14
+#: Characters that have left the streams of a worker and are merged together.
+AT_ONCE = 1_000_000
 _NEVER = 1 << 60
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -171,6 +178,19 @@ class Merges:
         return [x for x in ids if x >= 0]
 
 
+def in_slices(texts: list, most: int = 1_500_000) -> Iterator[list[str]]:
+    """Runs of texts (null: empty) of about ``most`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Transducer:
     """Feed the bytes of one pretoken in pieces; ids come out once no later byte can change them."""
 
@@ -225,24 +245,27 @@ def _odd(piece: str) -> bool:
 class Encoder:
     """Whole texts to a list of what ``pack`` makes of the ids of each piece. Pieces and pretokens are remembered in two generations."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: dict[str, int], pack: Callable[[list[int]], object], join: Callable[[list], object], most: int = REMEMBER):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: dict[str, int], pack: Callable[[list[int]], object], join: Callable[[list], object], most: int = REMEMBER_BYTES):
         self.find = regex.compile(PATTERN).findall
         self.many, self.special, self.pack, self.join, self.most = encode_many, special, pack, join, most
-        self.memory = {"pieces": ({}, {}), "pretokens": ({}, {})}
+        self.memory: dict[str, tuple[dict, dict]] = {"pieces": ({}, {}), "pretokens": ({}, {})}
+        self.bytes = dict.fromkeys(self.memory, 0)
 
     def _known(self, what: str, keys: set) -> tuple[dict, list]:
         """The young generation, with those of ``keys`` that the old one had, and the keys not known."""
         young, old = self.memory[what]
-        if len(young) > self.most:
+        if self.bytes[what] > self.most:
             young, old = {}, young
-            self.memory[what] = young, old
-        new = []
+            self.memory[what], self.bytes[what] = (young, old), 0
+        new, size = [], 0
         for k in keys:
             if k not in young:
+                size += 300 + 8 * len(k)
                 if (v := old.get(k)) is None:
                     new.append(k)
                 else:
                     young[k] = v
+        self.bytes[what] += size
         return young, new
 
     def _packed(self, groups: list[list[str]]) -> list:
@@ -260,10 +283,11 @@ class Encoder:
         return self.find(" " + piece)
 
     def encode_all(self, texts: list[str]) -> list[list]:
-        cut = [[s if s in self.special else s.split(" ") for s in segments(t, self.special) if s] for t in texts]
+        """What the ids of each text pack to, in a list; texts start and end at edges of pretokens."""
+        cut = [[s if s in self.special else self._split(s) for s in segments(t, self.special) if s] for t in texts]
         parts = [p for c in cut for p in c if not isinstance(p, str)]
         # A piece next to other space: the text must be cut with care. It is remembered as None.
-        firsts = [p[0] for p in parts]
+        firsts = [p[0] for p in parts if p[0] is not None]
         plain = iter(self._packed([self.find(p) for p in firsts if not _odd(p)]))
         heads = iter([None if _odd(p) else next(plain) for p in firsts])
         known, new = self._known("pieces", set().union(*(p[1:] for p in parts)))
@@ -278,11 +302,19 @@ class Encoder:
                 if isinstance(p, str):
                     got.append(self.pack([self.special[p]]))
                 else:
-                    got.append(next(heads))
+                    if p[0] is not None:
+                        got.append(next(heads))
                     got += map(known.__getitem__, p[1:])
             out.append(self._with_care(text) if None in got else got)
         return out
 
+    def _split(self, text: str) -> list:
+        """``text`` cut at spaces; the first piece is None if a space and another character come first."""
+        pieces: list = text.split(" ")
+        if not pieces[0] and len(pieces) > 1 and not _odd(pieces[1]):
+            pieces[0] = None
+        return pieces
+
     def _with_care(self, text: str) -> list:
         """A text with runs of white space: cut only at spaces between two other characters."""
         groups = []
@@ -319,17 +351,82 @@ def transducing(merges: Merges) -> Callable[[list[str]], list[list[int]]]:
     return many
 
 
-def in_slices(texts: list, most: int = 1_500_000) -> Iterator[list[str]]:
-    """Runs of texts (null: empty) of about ``most`` characters."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+_CLASSES = tuple(map(regex.compile, (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")))
+_SPACES = _CLASSES[2]
+_PRETOKEN = regex.compile(PATTERN)
+
+
+class Stream:
+    """The transducer of one text: ``feed`` its pieces; text that can no longer change comes out, or ids inside a pretoken that goes on."""
+
+    def __init__(self, merges: Merges, special: dict[str, int], piece: int = PIECE):
+        self.merges, self.special, self.piece = merges, special, max(piece, 8)
+        self.margin = max([3, *map(len, special)])  # what a pretoken or a special token may need to see behind it
+        self.spaced = [s for s in special if " " in s]
+        self.held, self.open, self.run = "", None, None
+
+    def _cut(self, text: str, limit: int) -> int:
+        """The last place up to ``limit`` that no pretoken or special token spans, or 0."""
+        k = limit + 1
+        while (k := text.rfind(" ", 1, k)) > 0:
+            if not text[k - 1].isspace() and not text[k + 1].isspace() and not any(s in text[max(0, k - len(s) + 1) : k + len(s) - 1] for s in self.spaced):
+                return k
+        return 0
+
+    def _special(self, text: str) -> tuple[int, int]:
+        """(start, end) of the first special token of ``text``; its length twice if there is none."""
+        return min(((k, k + len(s)) for s in sorted(self.special, key=len, reverse=True) if (k := text.find(s)) >= 0), default=(len(text), len(text)), key=lambda x: x[0])
+
+    def feed(self, piece: str, last: bool = False) -> list[str | list[int]]:
+        out: list[str | list[int]] = []
+        text, self.held = self.held + piece, ""
+        fresh = False  # whether the open pretoken starts with ``text``
+        while text:
+            limit = len(text) - self.margin
+            if self.run is None:
+                if last:
+                    out.append(text)
+                    break
+                if limit > 0 and (k := self._cut(text, limit)):
+                    out.append(text[:k])
+                    text = text[k:]
+                if len(text) < self.piece + self.margin:
+                    self.held = text
+                    break
+                limit, (stop, end) = len(text) - self.margin, self._special(text)
+                if stop == 0:
+                    out.append(text[:end])
+                    text = text[end:]
+                    continue
+                upto = stop if stop < len(text) else limit
+                ends = [m.end() for m in _PRETOKEN.finditer(text, 0, stop) if m.end() <= upto]
+                closed = max((k for k in ends if k == stop < len(text) or not text[k - 1].isspace()), default=0)
+                if closed:
+                    out.append(text[:closed])
+                    text = text[closed:]
+                    continue
+                if ends:  # space by itself would be cut in another way
+                    out.append(self.merges.encode(text[: ends[0]].encode("utf-8", "replace")))
+                    text = text[ends[0] :]
+                    continue
+                self.run, self.open = next(c for c in _CLASSES if c.fullmatch(text[limit - 1])), Transducer(self.merges)
+                fresh = True
+            stop, _ = self._special(text)
+            found = self.run.match(text, int(fresh and text[0] == " " and self.run is not _SPACES), stop)
+            end = found.end() if found else 0
+            if stop == len(text) and not last and end > limit:
+                limit = max(0, limit)
+                out.append(self.open.feed(text[:limit].encode("utf-8", "replace")))
+                self.held = text[limit:]
+                break
+            if self.run is _SPACES and end < stop:
+                end -= 1  # the last space belongs to what follows
+            out.append(self.open.feed(text[:end].encode("utf-8", "replace")) + self.open.finish())
+            text, self.run, self.open = text[end:], None, None
+        return out
+
+    def finish(self) -> list[str | list[int]]:
+        return self.feed("", True)
 
 
 _LOADED: dict = {}
@@ -350,29 +447,65 @@ def _worker(path: str) -> tuple[Merges, Encoder]:
     return _LOADED[path]
 
 
-def encode_text(text: str, path: str | None = None) -> list[int]:
-    _, encoder = _worker(path or default_vocabulary())
-    return np.frombuffer(b"".join([x[0] for x in encoder.encode_all([text])[0]]), np.uint32).tolist()
+def transduce(texts: Iterator[tuple[object, str]], path: str, piece: int = PIECE, at_once: int = AT_ONCE) -> Iterator[tuple[object, list]]:
+    """(key, packed ids) of (key, text), in order; a long text's ids come in many turns and its key as often."""
+    merges, encoder = _worker(path)
+    queue: list[tuple[object, str | list[int]]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[object, list]]:
+        found = iter(encoder.encode_all([x for _, x in queue if isinstance(x, str)]))
+        for key, x in queue:
+            yield key, next(found) if isinstance(x, str) else [encoder.pack(x)]
+        queue.clear()
+
+    for key, text in texts:
+        stream = Stream(merges, merges.special, piece)
+        queue.append((key, []))
+        for k in range(0, len(text), piece):
+            got = stream.feed(text[k : k + piece], k + piece >= len(text))
+            queue += [(key, x) for x in got]
+            size += min(piece, len(text) - k)
+            if size >= at_once:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def encode_text(text: str, path: str | None = None, piece: int = PIECE) -> list[int]:
+    return np.frombuffer(b"".join([x[0] for _, found in transduce(iter([(0, text)]), path or default_vocabulary(), piece) for x in found]), np.uint32).tolist()
 
 
-#: Ids decoded at a time.
-_STEP = 1 << 16
+class _Trip:
+    """Counts, digests and decodes the ids of one text as they come."""
+
+    def __init__(self, merges: Merges):
+        self.n, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
+
+    def take(self, packed: list) -> None:
+        ids = np.frombuffer(b"".join([x[0] for x in packed]), np.uint32)
+        if len(ids):
+            self.ids.update(b"," * (self.n > 0) + b",".join([x[1] for x in packed if x[1]]))
+            self.text.update(self.decoder.feed(ids.tolist()).encode())
+            self.n += len(ids)
+
+    def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
 def _round_trips(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, encoder = _worker(path)
+        merges, _ = _worker(path)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for found in (f for texts in in_slices(b.column(1).to_pylist()) for f in encoder.encode_all(texts)):
-                ids = np.frombuffer(b"".join([x[0] for x in found]), np.uint32)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(b",".join([x[1] for x in found if x[1]])).hexdigest())
-                decoder, digest = Decoder(merges), hashlib.sha256()
-                for k in range(0, len(ids), _STEP):
-                    digest.update(decoder.feed(ids[k : k + _STEP].tolist()).encode())
-                digest.update(decoder.finish().encode())
-                text_sha.append(digest.hexdigest())
+            rows, trip, at = [], None, -1
+            for k, packed in transduce(((k, t.as_py() or "") for k, t in enumerate(b.column(1))), path):
+                if k != at:
+                    rows += [trip.row()] if trip else []
+                    trip, at = _Trip(merges), k
+                trip.take(packed)
+            rows += [trip.row()] if trip else []
+            n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -406,7 +539,8 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
             out = []
             for ids in b.column(1).to_pylist():
                 d = Decoder(merges)
-                out.append(d.feed(ids or []) + d.finish())
+                steps = [d.feed(ids[k : k + PIECE]) for k in range(0, len(ids or ()), PIECE)]
+                out.append("".join([*steps, d.finish()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
