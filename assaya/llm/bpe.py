@@ -36,8 +36,8 @@ from .common import table
 
 #: The pretoken pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: About the bytes that each of two generations of remembered pieces, and of pretokens, may take in a worker.
-REMEMBER_BYTES = 24_000_000
+#: About the bytes that each of two generations of remembered pieces may take in a worker.
+REMEMBER_BYTES = 64_000_000
 #: Characters fed to a stream at a time; a stretch of as many without a safe cut is cut at pretokens.
 PIECE = 1 << 14
 #: Characters that have left the streams of a worker and are merged together.
@@ -239,7 +239,13 @@ def segments(text: str, special: dict[str, int]) -> list[str]:
 
 
 def _odd(piece: str) -> bool:
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+    """Whether a piece has to be cut with care: nothing, space at its ends, or the mark of other keys."""
+    return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == "\0"
+
+
+def _key(pretoken: str) -> str:
+    """A pretoken as a key: a word after a space is remembered as the piece that it is, others apart from all pieces."""
+    return pretoken[1:] if pretoken[0] == " " and not _odd(pretoken[1:]) else "\0" + pretoken
 
 
 class Encoder:
@@ -248,37 +254,41 @@ class Encoder:
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: dict[str, int], pack: Callable[[list[int]], object], join: Callable[[list], object], most: int = REMEMBER_BYTES):
         self.find = regex.compile(PATTERN).findall
         self.many, self.special, self.pack, self.join, self.most = encode_many, special, pack, join, most
-        self.memory: dict[str, tuple[dict, dict]] = {"pieces": ({}, {}), "pretokens": ({}, {})}
-        self.bytes = dict.fromkeys(self.memory, 0)
-
-    def _known(self, what: str, keys: set) -> tuple[dict, list]:
-        """The young generation, with those of ``keys`` that the old one had, and the keys not known."""
-        young, old = self.memory[what]
-        if self.bytes[what] > self.most:
-            young, old = {}, young
-            self.memory[what], self.bytes[what] = (young, old), 0
-        new, size = [], 0
+        self.young: dict = {}
+        self.old: dict = {}
+        self.bytes = 0
+
+    def _known(self, keys) -> list:
+        """Bring what is remembered of ``keys`` into the young generation; the keys that are not known."""
+        if self.bytes > self.most:
+            self.young, self.old, self.bytes = {}, self.young, 0
+        young, old, new = self.young, self.old, []
         for k in keys:
             if k not in young:
-                size += 300 + 8 * len(k)
-                if (v := old.get(k)) is None:
+                if (v := old.get(k, old)) is old:
                     new.append(k)
                 else:
                     young[k] = v
-        self.bytes[what] += size
-        return young, new
+                    self.bytes += 300 + 8 * len(k)
+        return new
+
+    def _learn(self, keys: list, values) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.bytes += sum(300 + 8 * len(k) for k in keys)
 
     def _packed(self, groups: list[list[str]]) -> list:
         """What the ids of each group of pretokens pack to."""
-        known, new = self._known("pretokens", {t for g in groups for t in g})
-        known.update(zip(new, map(self.pack, self.many(new)), strict=True))
-        return [known[g[0]] if len(g) == 1 else self.join([known[t] for t in g]) for g in groups]
+        keys = {_key(t): t for g in groups for t in g}
+        new = self._known(keys)
+        self._learn(new, map(self.pack, self.many([keys[k] for k in new])))
+        known = self.young
+        return [known[_key(g[0])] if len(g) == 1 else self.join([known[_key(t)] for t in g]) for g in groups]
 
     def _pretokens(self, piece: str) -> list[str]:
         """The pretokens of a space and ``piece``; most pieces are a word, or one with a mark behind it."""
         if piece.isalpha():
             return [" " + piece]
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
             return [" " + piece[:-1], piece[-1]]
         return self.find(" " + piece)
 
@@ -290,11 +300,18 @@ class Encoder:
         firsts = [p[0] for p in parts if p[0] is not None]
         plain = iter(self._packed([self.find(p) for p in firsts if not _odd(p)]))
         heads = iter([None if _odd(p) else next(plain) for p in firsts])
-        known, new = self._known("pieces", set().union(*(p[1:] for p in parts)))
-        odd = {p for p in new if _odd(p)}
-        known.update(dict.fromkeys(odd))
-        new = [p for p in new if p not in odd]
-        known.update(zip(new, self._packed(list(map(self._pretokens, new))), strict=True))
+        new = self._known(set().union(*(p[1:] for p in parts)))
+        if odd := {p for p in new if _odd(p)}:
+            self._learn(list(odd), [None] * len(odd))
+            new = [p for p in new if p not in odd]
+        known = self.young
+        groups = list(map(self._pretokens, new))
+        packed = self._packed(groups)
+        if known is not self.young:  # a new generation has begun
+            self.young = known | self.young
+            known = self.young
+        several = [k for k, g in enumerate(groups) if len(g) > 1]
+        self._learn([new[k] for k in several], [packed[k] for k in several])
         out: list[list] = []
         for text, c in zip(texts, cut, strict=True):
             got: list = []
