@@ -239,13 +239,13 @@ def segments(text: str, special: dict[str, int]) -> list[str]:
 
 
 def _odd(piece: str) -> bool:
-    """Whether a piece has to be cut with care: nothing, space at its ends, or the mark of other keys."""
-    return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] == "\0"
+    """Whether a piece has to be cut with care: nothing, or space at its ends."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
 def _key(pretoken: str) -> str:
-    """A pretoken as a key: a word after a space is remembered as the piece that it is, others apart from all pieces."""
-    return pretoken[1:] if pretoken[0] == " " and not _odd(pretoken[1:]) else "\0" + pretoken
+    """A pretoken as a key: a word after a space is remembered as the piece that it is, others apart from all pieces, none of which has a NUL."""
+    return pretoken[1:] if pretoken[0] == " " and not _odd(pretoken[1:]) and pretoken[1] != "\0" else "\0" + pretoken
 
 
 class Encoder:
@@ -294,7 +294,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[list]:
         """What the ids of each text pack to, in a list; texts start and end at edges of pretokens."""
-        cut = [[s if s in self.special else self._split(s) for s in segments(t, self.special) if s] for t in texts]
+        cut = [[] if "\0" in t else [s if s in self.special else self._split(s) for s in segments(t, self.special) if s] for t in texts]
         parts = [p for c in cut for p in c if not isinstance(p, str)]
         # A piece next to other space: the text must be cut with care. It is remembered as None.
         firsts = [p[0] for p in parts if p[0] is not None]
@@ -322,7 +322,7 @@ class Encoder:
                     if p[0] is not None:
                         got.append(next(heads))
                     got += map(known.__getitem__, p[1:])
-            out.append(self._with_care(text) if None in got else got)
+            out.append(self._with_care(text) if None in got or "\0" in text else got)
         return out
 
     def _split(self, text: str) -> list:

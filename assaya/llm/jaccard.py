@@ -3,8 +3,9 @@
 1. A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets
    form a class; only the class's smallest doc_id goes on.
 2. Two sets whose Jaccard similarity is at least t share k of their first n - ceil(t n) + k
-   shingles in hash order (or all that a link needs, if fewer). Documents meet at these shingles,
-   and each is paired with the first and with the previous document there: never all pairs of a
+   shingles in any common order (or all that a link needs, if fewer). The order is by rarity, from a
+   table of ``SLOTS`` counters over all shingles, so that few documents lead with frequent ones.
+   Documents meet at these shingles, and each is paired with the first and with the previous document there: never all pairs of a
    group. Shingles that many sets lead with are left out where fewer than k - 1 of a document's are
    such, since a link then shows at others. A pair has to meet at ``MEET`` shingles; sets that are
    too small for that link with equal ones only. Sizes that can't link are left out.
@@ -15,8 +16,7 @@
    the pairs whose ends are not in one component yet.
 5. No link may be lost to step 2's choice of partners. Where documents of different components
    still meet, all their pairs are tried: at shingles with up to ``HOT`` documents directly; for
-   documents that lead with many hot shingles at the first n - ceil(t n) + 1 shingles in order of
-   rarity among those documents, through an R-tree where more than ``HOT`` meet. Pairs within a component, such as a large group of copies, are
+   documents that lead with many hot shingles at their first n - ceil(t n) + 1 shingles, through an R-tree where more than ``HOT`` meet. Pairs within a component, such as a large group of copies, are
    never made.
 
 An R-tree alone would have to compare nearly all pairs here, because the counts of unrelated texts
@@ -93,8 +93,13 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _described(width: int, num: int, den: int):
-    """doc_id, n_shingles, signature and leading shingles of each text."""
+def _rarity(keys: np.ndarray, loads: np.ndarray) -> np.ndarray:
+    """What the shingles are ordered by: the load of each one's slot, then its own hash."""
+    return (np.minimum(loads[keys % np.uint64(SLOTS)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | keys >> np.uint64(24)
+
+
+def _described(width: int, num: int, den: int, loads):
+    """doc_id, n_shingles, signature and leading shingles of each text, the rarest of the table first. loads: a broadcast of ``table_loads``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -110,7 +115,8 @@ def _described(width: int, num: int, den: int):
         for i, words in word_sequences(batches):
             s = shingle_set(words, width)
             n = len(s)
-            keys = s[: n - -(-num * n // den) + SPARE]
+            lead = n - -(-num * n // den) + SPARE
+            keys = s[np.argpartition(_rarity(s, loads.value), lead)[:lead]] if lead < n else s
             sums = mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)
             xors = np.bitwise_xor.reduce(mix(s + np.uint64(2)), initial=np.uint64(0)).astype(np.int64)
             rows.append((i, n, int(sums), int(xors), keys))
@@ -298,15 +304,17 @@ def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int, c
     return out
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, counts): how many of a task's shingles fall into each slot."""
-    loads = np.zeros(SLOTS, np.int64)
-    for x in batches:
-        for m in x.column("members"):
-            loads += np.bincount((np.frombuffer(m.as_py(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    found = loads.reshape(-1, CHUNK)
-    used = np.flatnonzero(found.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([found[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+def _loads(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, counts): how many of a task's shingles fall into each slot, up to 65,535 for each task."""
+        loads = np.zeros(SLOTS, np.uint32)
+        for _, words in word_sequences(batches):
+            np.add.at(loads, (shingle_set(words, width) % np.uint64(SLOTS)).astype(np.int64), 1)
+        found = np.minimum(loads, 65_535).astype(np.uint16).reshape(-1, CHUNK)
+        used = np.flatnonzero(found.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([found[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"])
+
+    return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,27 +322,30 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for x in batches:
         for chunk, counts in zip(x.column("chunk").to_pylist(), x.column("counts"), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_py(), np.int64)
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_py(), np.uint16).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, n, key: the first n - ceil(t n) + 1 shingles of each set, the rarest of the table first.
+def table_loads(rows: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of the whole table fall into each of ``SLOTS`` slots; a task sends one vector of fixed size.
 
-    Rarity is the load of a shingle's slot in a table of ``SLOTS`` counters, which is all that travels.
     Any order that all sets have in common keeps every link; a fuller table only orders less sharply.
     """
     loads = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
-    for r in sets.mapInArrow(_loads, "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect():
+    for r in rows.mapInArrow(_loads(width), "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").toLocalIterator():
         loads[r.chunk] = np.frombuffer(r.counts, np.int64)
-    table = sets.sparkSession.sparkContext.broadcast(loads.ravel())
+    return loads.ravel()
+
+
+def _rarest(sets: DataFrame, num: int, den: int, loads) -> DataFrame:
+    """doc_id, n, key: the first n - ceil(t n) + 1 shingles of each set, the rarest of the table first."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i, m in zip(x.column("doc_id").to_pylist(), x.column("members"), strict=True):
                 keys = np.frombuffer(m.as_py(), np.uint64)
                 n = len(keys)
-                keys = keys[np.lexsort((keys, table.value[keys % np.uint64(SLOTS)]))[: n - -(-num * n // den) + 1]].view(np.int64)
+                keys = keys[np.argsort(_rarity(keys, loads.value), kind="stable")[: n - -(-num * n // den) + 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int64)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys)], names=["doc_id", "n", "key"])
 
     return sets.mapInArrow(first, "doc_id long, n int, key long")
@@ -359,7 +370,8 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text): documents link when den * |a & b| >= num * |a | b|."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    base, base_path = written(rows.mapInArrow(_described(width, num, den), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "shingles")
+    loads = spark.sparkContext.broadcast(table_loads(rows, width))
+    base, base_path = written(rows.mapInArrow(_described(width, num, den, loads), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "shingles")
     lean, _ = written(base.drop("keys"), "signatures")
     able = base.where("n_shingles > 0 and doc_id is not null")
     classes, classes_path = written(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
@@ -414,7 +426,7 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     mixed = keyed.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     if not mixed.isEmpty():
         sets, used = _sets_of(rows, mixed, width)
-        rarest, rarest_path = written(_rarest(sets, num, den), "rarest")
+        rarest, rarest_path = written(_rarest(sets, num, den, loads), "rarest")
         apart = _apart(rarest, labels, 1, num, den, sets.select("doc_id", "counts")).join(tried, ["a", "b"], "left_anti")
         rest = verify(apart, sets, num, den)
         remove(spark, rarest_path, *used)

@@ -95,6 +95,7 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     """
     hosts = judged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
     rate = F.col("failures") / F.col("n")
+    hosts, _ = written(hosts, "host-counts")
     m = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.var_pop(rate).alias("v")).first()
     mean = (m["f"] or 0) / m["n"] if m["n"] else 0.0
     strength = min(1000.0, max(1.0, mean * (1 - mean) / m["v"] - 1)) if m["v"] else 1000.0
@@ -122,12 +123,13 @@ def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 def keep(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged.
 
-    The base rules run once for the host counts and again as a filter on the scan, so texts are never shuffled or spooled.
+    The base rules run once: the rows are written to shared storage with their verdict, of which the host counts read two columns.
     """
-    hosts, _ = written(host_verdicts(features(docs), max_rate), "hosts")
-    f = F.col("_f")
-    ok = docs.withColumn("_f", base_rules(F.col("text"))).where(~failed(f["w"]["n_words"], f["w"]["n_repeat_words"])).drop("_f")
+    f = F.transform(F.array(base_rules(F.col("text"))), lambda f: failed(f["w"]["n_words"], f["w"]["n_repeat_words"]))
+    marked, _ = written(docs.withColumn("_base_failed", F.get(f, F.lit(0))), "marked")
+    hosts, _ = written(host_verdicts(marked.select(F.col("source").cast("string").alias("source"), F.col("_base_failed").alias("base_failed")), max_rate), "hosts")
     bad = hosts.where("host_failed").select(F.col("source").alias("_bad_host"))
+    ok = marked.where(~F.col("_base_failed")).drop("_base_failed")
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     return ok.join(bad, ok["source"].cast("string") == bad["_bad_host"], "left_anti")
