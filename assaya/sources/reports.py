@@ -60,10 +60,10 @@ def ruff(reports: DataFrame) -> DataFrame:
 
 
 def pyright(reports: DataFrame) -> DataFrame:
-    """Positions count from 0 in the report and from 1 in the table."""
+    """Positions count from 0 in the report and from 1 in the table; severities other than error and warning are notes."""
     x = _each(reports, _PYRIGHT, lambda d: d["generalDiagnostics"])
     start, end = F.col("x.range.start"), F.col("x.range.end")
-    return _diagnostics(x, "pyright", file_path=F.col("x.file"), rule_id=F.col("x.rule"), severity=F.when(F.col("x.severity") == "error", "error").otherwise("warning"), line=start["line"] + 1, col=start["character"] + 1, end_line=end["line"] + 1, end_col=end["character"] + 1, message=F.col("x.message"))
+    return _diagnostics(x, "pyright", file_path=F.col("x.file"), rule_id=F.col("x.rule"), severity=F.when(F.col("x.severity").isin("error", "warning"), F.col("x.severity")).otherwise("note"), line=start["line"] + 1, col=start["character"] + 1, end_line=end["line"] + 1, end_col=end["character"] + 1, message=F.col("x.message"))
 
 
 def coverage_json(reports: DataFrame) -> DataFrame:
@@ -75,8 +75,11 @@ def coverage_json(reports: DataFrame) -> DataFrame:
 
 
 def lcov(reports: DataFrame) -> DataFrame:
-    """path, file_path, covered, missing (sorted lines) of LCOV records; a line's hits add up over the records of its file."""
-    record = F.explode(F.split("body", r"(?m)^end_of_record\s*$")).alias("record")
+    """path, file_path, covered, missing (sorted lines) of LCOV records; a line's hits add up over the records of its file.
+
+    A record ends at its end mark or where the next file starts.
+    """
+    record = F.explode(F.split("body", r"(?m)^end_of_record\s*$|^(?=SF:)")).alias("record")
     x = reports.select("path", record).select("path", F.regexp_extract("record", r"(?m)^SF:(.*?)\s*$", 1).alias("file_path"), F.explode(F.regexp_extract_all("record", F.lit(r"(?m)^DA:(\d+,\d+)"), F.lit(1))).alias("da")).where("file_path <> ''")
     x = x.select("path", "file_path", F.split("da", ",")[0].cast("int").alias("line"), F.split("da", ",")[1].cast("long").alias("hits")).where("line > 0")
     lines = x.groupBy("path", "file_path", "line").agg(F.sum("hits").alias("hits"))

@@ -36,6 +36,17 @@ def test_coverage(spark):
     assert rows(got, "file_path", "covered", "missing") == [("a.c", [1, 2], [3]), ("b.c", [], [7])]
 
 
+def test_a_file_ends_an_open_lcov_record(spark):
+    got = reports.lcov(of(spark, "SF:a.c\nDA:1,1\nSF:b.c\nDA:7,0\nend_of_record\n")).orderBy("file_path")
+    assert rows(got, "file_path", "covered", "missing") == [("a.c", [1], []), ("b.c", [], [7])]
+
+
+def test_pyright_notes(spark):
+    item = {"file": "a.py", "message": "m", "rule": "x", "range": {"start": {"line": 0, "character": 0}, "end": {"line": 0, "character": 1}}}
+    got = reports.pyright(of(spark, {"generalDiagnostics": [item | {"severity": s} for s in ("error", "warning", "information")]}))
+    assert [r[0] for r in rows(got, "severity")] == ["error", "warning", "note"]
+
+
 def test_unreadable_and_export(spark):
     assert rows(reports.unreadable(of(spark, [], "{", None)), "path") == [("r1",), ("r2",)]
     found = spark.createDataFrame([("r", "defect", "C2", "m", "a.py", 1, 2, 5, 9, True), ("r", "defect", "C1", "m", "a.py", 1, 2, 5, 3, False)], "rule_id string, classification string, confidence string, message string, file_path string, line int, col int, start int, end int, suppressed boolean")
