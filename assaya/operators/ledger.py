@@ -40,15 +40,9 @@ SQL = {
     "evidence_kind": f"with {FINDINGS}, k as (select case when rule_id like 'dependency.%' then 'resolution' when rule_id like 'errors%' or rule_id like 'data%' then 'control-flow' when rule_id like 'structure%' then 'reference' else 'diagnostic' end as kind from (select case c when 1 then 'dependency.unresolved' when 2 then 'errors.suppressed' else case r when 1 then 'structure.duplicate-capability' else rule_id end end as rule_id from findings) as x) select kind, count(*) as n from k group by kind",
     "sarif_level": f"with {FINDINGS}, {UNIQUE} select finding_id, case when c > 1 and rule_id like 'rule.R%' then 'error' when c = 1 then 'note' else 'warning' end as level from one",
     "utf16_length": "select doc_id, cast(length(coalesce(text, '')) + length(REPLACE_ALL(coalesce(text, ''), '[^\U00010000-\U0010FFFF]', '')) as bigint) as utf16_units from {documents}",
-    "package_normalize": "select distinct p_brand, REPLACE_ALL(lower(p_brand), '[_.# ]+', '-') as package from {part}",
-    "markdown_escape": "select p_partkey, replace(replace(replace(p_name, '|', '/'), '<', '&lt;'), '>', '&gt;') as cell from {part}",
     "offset_to_position": "select doc_id, cast(length(head) - length(replace(head, chr(10), '')) + 1 as bigint) as line, cast(length(REPLACE_ALL(head, '(?s).*[\n]', '')) + 1 as bigint) as col from (select doc_id, substr(text, 1, cast(floor(n_chars / 2) as int)) as head from {documents} where text is not null) as x",
-    "line_repetition": "with l as (select doc_id, EXPLODE(LINES(coalesce(text, ''))) as raw from {documents}), n as (select doc_id, trim(REPLACE_ALL(REPLACE_ALL(lower(raw), '[0-9]+', '<number>'), '[ \t]+', ' ')) as line from l), g as (select doc_id, line, count(*) as n from n where line <> '' group by doc_id, line), r as (select doc_id, cast(sum(n) as bigint) as line_count, cast(sum(case when n > 1 then n else 0 end) as bigint) as repeated, count(*) filter (where n > 1) as boilerplate from g group by doc_id) select doc_id, line_count, boilerplate, round(1e0 * repeated / line_count, 6) as repeated_rate from r",
-    "lexical_overlap": "with w as (select conv_id, turn, DISTINCT_OF(WORDS_OF(coalesce(text, ''))) as ws from {conversations}) select a.conv_id, a.turn, b.turn as next_turn, case when SIZE(a.ws) = 0 or SIZE(b.ws) = 0 then 0e0 else round(1e0 * SIZE(COMMON(a.ws, b.ws)) / least(SIZE(a.ws), SIZE(b.ws)), 6) end as overlap from w a join w b on a.conv_id = b.conv_id and b.turn = a.turn + 1",
     "retrieval_tokens": "select item_id, count(distinct t) as n from (select item_id, EXPLODE(WORDS_OF(coalesce(text, ''))) as t from {benchmark}) as x where length(t) > 1 group by item_id",
-    "nearest_name": "with declared as (select distinct lower(substr(p_type, 1, 12)) as name from {part}), seen as (select distinct lower(substr(p_name, 1, 12)) as name from {part} where p_partkey % 20 = 0), c as (select s.name, d.name as declared, levenshtein(s.name, d.name) as distance from seen s join declared d on abs(length(s.name) - length(d.name)) <= 8) select name, declared, cast(distance as bigint) as distance from (select *, row_number() over (partition by name order by distance, declared) as k from c) as x where k = 1",
-    "nearest_name_all": "with declared as (select distinct lower(p_type) as name from {part}), seen as (select distinct lower(p_name) as name from {part}), c as (select s.name, d.name as declared, levenshtein(s.name, d.name) as distance from seen s cross join declared d) select name, declared, cast(distance as bigint) as distance from (select *, row_number() over (partition by name order by distance, declared) as k from c) as x where k = 1",
-    "finding_evidence_overlap_all": f"with {FINDINGS}, {UNIQUE}, evidence as (select concat('src/f', cast(o_custkey % 50 as varchar(20)), '.py') as file_path, concat('h', cast(o_custkey % 50 as varchar(20))) as source_hash, cast(o_orderkey % 5000 as bigint) as s, cast(o_orderkey % 5000 + 40 as bigint) as e from {{orders}}), f as (select finding_id, file_path, source_hash, start_off, end_off, EXPLODE(SERIES(cast(floor((start_off - 40) / 1e2) as bigint), cast(floor(end_off / 1e2) as bigint))) as bin from one), x as (select *, cast(floor(s / 1e2) as bigint) as bin from evidence) select f.finding_id, count(*) as evidence_count from f join x on f.file_path = x.file_path and f.source_hash = x.source_hash and f.bin = x.bin and x.e >= f.start_off and x.s <= f.end_off group by f.finding_id",
+    "finding_evidence_overlap": f"with {FINDINGS}, {UNIQUE}, evidence as (select concat('src/f', cast(o_custkey % 50 as varchar(20)), '.py') as file_path, concat('h', cast(o_custkey % 50 as varchar(20))) as source_hash, cast(o_orderkey % 5000 as bigint) as s, cast(o_orderkey % 5000 + 40 as bigint) as e, count(*) as n from {{orders}} group by 1, 2, 3, 4), f as (select finding_id, file_path, source_hash, start_off, end_off, EXPLODE(SERIES(cast(floor((start_off - 40) / 1e2) as bigint), cast(floor(end_off / 1e2) as bigint))) as bin from one), x as (select *, cast(floor(s / 1e2) as bigint) as bin from evidence) select f.finding_id, cast(sum(x.n) as bigint) as evidence_count from f join x on f.file_path = x.file_path and f.source_hash = x.source_hash and f.bin = x.bin and x.e >= f.start_off and x.s <= f.end_off group by f.finding_id",
     "completeness": f"with {FINDINGS}, s as (select file_path, count(*) as scanned, count(*) filter (where n_counter = 3 and c = 3) as reasons from findings group by file_path) select file_path, case when scanned = 0 then 'abstained' when reasons > 0 then 'partial' else 'complete' end as status from s",
     # ledger
     "touched_paths": f"with {EVENTS} select distinct path from ev where kind = 'mutation' and succeeded",

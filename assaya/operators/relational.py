@@ -44,7 +44,6 @@ SQL = {
     "hotspots": f"{RANKED} select file_path, count(*) as findings, count(distinct rule_id) as rules, max(score) as top_score from scored group by file_path order by findings desc, file_path limit 10",
     "action_counts": f"{RANKED} select maximum_action as action, count(*) as n from scored group by maximum_action",
     "priority_bands": f"{RANKED} select case when score >= 85 then 'Critical' when score >= 65 then 'High' when score >= 40 then 'Medium' else 'Low' end as band, count(*) as n from scored group by 1",
-    "finding_evidence_overlap": f"with {FINDINGS}, {UNIQUE}, evidence as (select o_orderkey as evidence_id, concat('src/f', cast(o_custkey % 50 as varchar(20)), '.py') as file_path, concat('h', cast(o_custkey % 50 as varchar(20))) as source_hash, cast(o_orderkey % 5000 as bigint) as s, cast(o_orderkey % 5000 + 40 as bigint) as e from {{orders}} where o_orderkey % 97 = 0) select o.finding_id, count(*) as evidence_count from one o join evidence x on o.file_path = x.file_path and o.source_hash = x.source_hash and x.e >= o.start_off and x.s <= o.end_off group by o.finding_id",
     "policy_apply": f"with {FINDINGS}, {UNIQUE}, capped as (select finding_id, rule_id, least(c, case when rule_id = 'rule.AF' then 1 else 2 end) as c, r, n_counter, case maximum_action when 'ignore' then 0 when 'observe' then 1 else 2 end as a from one), lowered as (select *, case when n_counter > 0 or r = 3 then least(a, 1) else a end as b, greatest(0e0, least(1e0, case c when 1 then 4e-1 when 2 then 7e-1 else 95e-2 end - least(6e-1, 2e-1 * n_counter))) as score from capped) select finding_id, case when score < 5e-1 then 'C1' else concat('C', cast(c as varchar(20))) end as final_confidence, case case when b = 2 and score < case r when 1 then 55e-2 when 2 then 7e-1 else 9e-1 end then 1 else b end when 0 then 'ignore' when 1 then 'observe' else 'propose' end as final_action, round(score, 6) as score from lowered",
     "scan_diff": f"with {FINDINGS}, {UNIQUE}, a as (select finding_id, start_off, end_off from one where l_shipdate < date '1996-01-01' or start_off % 3 = 0), b as (select finding_id, case when start_off % 5 = 0 then start_off + 1 else start_off end as start_off, end_off from one where l_shipdate >= date '1994-01-01') select case when a.finding_id is null then 'added' when b.finding_id is null then 'resolved' when a.start_off = b.start_off and a.end_off = b.end_off then 'unchanged' else 'changed' end as status, count(*) as n from a full outer join b on a.finding_id = b.finding_id group by 1",
     "verdict_classify": f"with {FINDINGS}, {UNIQUE}, ledger as (select finding_id, case when start_off % 4 = 0 then 'old' else source_hash end as source_hash from one where start_off % 3 = 0) select o.finding_id, case when l.finding_id is null then 'new' when l.source_hash = o.source_hash then 'same' else 'stale' end as status from one o left join ledger l on o.finding_id = l.finding_id where o.start_off % 2 = 0 union all select l.finding_id, 'resolved' as status from ledger l left join (select finding_id from one where start_off % 2 = 0) o on o.finding_id = l.finding_id where o.finding_id is null",

@@ -2,7 +2,7 @@ import random
 
 import pyarrow.parquet as pq
 
-from assaya.operators import behavior, ledger
+from assaya.operators import behavior, ledger, wording
 
 
 def test_components_of_long_chains(spark):
@@ -34,14 +34,37 @@ def test_evidence_of_all_orders(spark):
         n = sum(s + 40 >= start and s <= end for s in evidence.get(place, []))
         if n:
             want[key] = n
-    got = {r.finding_id: r.evidence_count for r in ledger.QUERIES["finding_evidence_overlap_all"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r.finding_id: r.evidence_count for r in ledger.QUERIES["finding_evidence_overlap"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
 
 
-def test_whole_names_of_all_parts(spark, tmp_path):
-    rows = [(1, "brass fitting left", "brass fitting right"), (2, "brass fitting right", "steel"), (3, "a name far longer than any that is declared", "steel")]
-    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.name: (r.declared, r.distance) for r in ledger.QUERIES["nearest_name_all"](spark, str(tmp_path)).collect()}
-    assert set(got) == {n for _, n, _ in rows}
-    assert got["brass fitting right"] == ("brass fitting right", 0)
-    assert got["brass fitting left"][0] == "brass fitting right"
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a, 1):
+        row, old = [k], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_nearest_declared_names_against_brute_force(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abAc") for _ in range(rng.randrange(0, 11)))
+    seen, declared = {name() for _ in range(150)}, {name() for _ in range(60)}
+    frame = lambda names: spark.createDataFrame([(n, 1) for n in [*names, None]], "name string, key int")
+    want = {}
+    for s in seen:
+        distance, nearest = min((edits(s.lower(), d.lower()), d) for d in declared)
+        if distance <= 2:
+            want[s] = (nearest, distance)
+    got = {r.name: (r.declared, r.distance) for r in wording.nearest_declared(frame(seen), frame(declared)).collect()}
+    assert got == want and len(want) > 20
+    assert wording.nearest_declared(frame([]), frame(declared)).collect() == []
+
+
+def test_lines_and_cells(spark):
+    rows = [("  Say 'a b' 12 x1 3.5\tEND", "a|b  <c> & `d`_"), (None, None)]
+    lines = spark.createDataFrame(rows, "line string, cell string")
+    got = lines.select(wording.normalized_line(lines["line"]), wording.markdown_text(lines["cell"])).collect()
+    assert tuple(got[0]) == ("say <literal> <number> x1 <number> end", "a\\\\|b &lt;c&gt; &amp; \\`d\\`\\_")
+    assert tuple(got[1]) == (None, None)
