@@ -120,27 +120,42 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """The fields that each rebuilt record's own header bytes state, and the length of its block."""
+    """What each rebuilt record's own bytes state: the fields of its header, the length and SHA-256 of its block."""
     text = F.decode(F.col("record"), "ISO-8859-1")  # a character for each byte
     out = records.withColumn("_head", F.substring_index(text, _EOL * 2, 1))
+    kind = records.schema["page_id"].dataType
 
     def field(name: str) -> Column:
-        return F.regexp_extract("_head", rf"(?m)^{name}: ([^\r\n]*)", 1)
+        return F.regexp_extract("_head", rf"\r\n{name}: ([^\r\n]*)", 1)
 
+    def page(name: str) -> Column:
+        return F.when(field(name) != "", F.nullif(F.regexp_extract(field(name), "^<urn:page:(.*)>$", 1), F.lit("none"))).cast(kind)
+
+    start, size = F.length("_head") + 5, F.octet_length("record") - F.length("_head") - 8
     return out.select(
         *records.columns,
+        page("WARC-Record-ID").alias("page_read"),
         field("WARC-Type").alias("type_read"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("digest_read"),
         field("Content-Length").cast("long").alias("length_read"),
-        (F.octet_length("record") - F.length("_head") - 8).cast("long").alias("block_bytes"),
-        F.regexp_extract("_head", r"(?m)^WARC-Refers-To: <urn:page:([^>]*)>", 1).alias("refers_read"),
+        size.cast("long").alias("block_bytes"),
+        F.sha2(F.substr("record", start, size), 256).alias("block_digest"),
+        page("WARC-Refers-To").alias("refers_read"),
     )
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column is read from the rebuilt records; a revisit's payload length is that of the bytes it refers to."""
     path = scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    response = F.col("type_read") == "response"
+    return parsed(read_archive(spark, path)).select(
+        F.col("page_read").alias("page_id"),
+        F.when(response, F.col("block_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("block_digest")).otherwise(F.col("digest_read")).alias("payload_digest"),
+        F.col("type_read").alias("record_type"),
+        F.col("refers_read").alias("refers_to"),
+    )
 
 
 ORACLE_SQL = f"""
