@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. Each block is described by its own word count and
 link density, those of its neighbours, and whether it lies in an article or in a container that is
-marked as boilerplate (by tag, or by a word of its class, id or role). A small CART tree, trained
+marked as boilerplate (by tag, or by a name of its class, id or role). A small CART tree, trained
 on the labelled table below, decides which blocks are main text.
 
 Defined results: a null or empty html, or one without main text, gives an empty text; a page that
@@ -30,6 +30,8 @@ BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset searc
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id or role that mark boilerplate.
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations popular trending newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay search form copyright legal disclaimer pagination pager tags taglist skip contentinfo complementary outbrain taboola".split())
+#: Words that leave a compound such as ``related-posts`` boilerplate; others (``popular-science``, ``nav-open``) do not.
+NEUTRAL_WORDS = frozenset("area article articles bar block body bottom box button buttons col column container content entry global group holder icon icons inner item items label left link links list main module outer page panel post posts primary region right row secondary section site slot story text title top unit wrap wrapper zone".split())
 #: Blocks that hold text and whose end tag may be left out.
 LEAVES = frozenset("p li dt dd option td th tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -41,6 +43,15 @@ _MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _WORD = re.compile(r"[a-z]+")
 
 
+def marked(names: list[str]) -> bool:
+    """Whether a name of a class, id or role marks boilerplate: it has such a word, and only neutral ones beside it."""
+    for name in names:
+        words = set(_WORD.findall(name))
+        if words & BOILER_WORDS and all(w in BOILER_WORDS or w in NEUTRAL_WORDS or len(w) == 1 for w in words):
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("article", "boiler", "heading", "linked", "text", "words")
 
@@ -51,7 +62,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, boilerplate, article
+    stack: list[tuple[str, int, bool]] = []  # open containers: tag, boilerplate (in a <main>: less all of the outer ones), article
     text: list[str] = []
     linked: list[str] = []
     link = boiler = article = 0
@@ -97,10 +108,12 @@ def blocks_of(page: str) -> list[Block]:
                 boiler -= stack.pop()[1]
             if tag in LEAVES and not m[4] or tag in VOID:
                 continue
-            marks = {w for x in _MARKS.finditer(m[4]) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower())}
-            whole = tag in ARTICLE_TAGS or tag in ("html", "body")
-            b = not whole and (tag in BOILER_TAGS and not (tag == "header" and article) or bool(marks & BOILER_WORDS))
-            a = tag not in LEAVES and not b and (tag in ARTICLE_TAGS or bool(marks & ARTICLE_WORDS))
+            names = [n for x in _MARKS.finditer(m[4]) for n in (x[1] or x[2] or x[3] or "").lower().split()]
+            whole = tag in ("main", "html", "body")
+            b = int(not whole and (tag in BOILER_TAGS and not (tag == "header" and article) or marked(names)))
+            a = tag not in LEAVES and not b and (tag in ARTICLE_TAGS or any(w in ARTICLE_WORDS for n in names for w in _WORD.findall(n)))
+            if tag == "main":  # the page's one main part is never boilerplate for what lies around it
+                b = -boiler
             if b or tag not in LEAVES:
                 stack.append((tag, b, a))
                 boiler, article = boiler + b, article + a
