@@ -1,8 +1,10 @@
 """URL filter: host/path rules first, then a weighted vocabulary counted by Aho-Corasick.
 
-Strict terms reject on one hit, soft terms on ``MIN_SOFT`` distinct hits. A hit counts only
-between boundaries: the characters beside it are not ASCII letters or digits. Matching is on
-the A-Z lower-cased url.
+The vocabulary gives each term a weight. A url is rejected if its distinct terms weigh ``LIMIT`` or
+more: strict terms weigh that much alone, soft ones half of it, so that two distinct soft terms reject.
+Weights in between are open to the caller, whose terms may come from a table (``vocabulary_of``). A hit
+counts only between boundaries: the characters beside it are not ASCII letters or digits. Matching is
+on the A-Z lower-cased url.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, meets no
 rule, and a null one has no terms either (allow); repeated rows are judged one by one; an
@@ -11,6 +13,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +27,11 @@ from .common import table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 STRICT = ("porn", "xxx", "hentai", "escort", "sexcam", "viagra", "camgirl", "bestiality")
 SOFT = ("adult", "casino", "poker", "betting", "nude", "hot", "cam", "dating", "pills", "loan", "torrent", "crack")
-MIN_SOFT = 2
+#: Weight that rejects; a soft term's weight.
+LIMIT, SOFT_WEIGHT = 1.0, 0.5
+VOCABULARY = dict.fromkeys(SOFT, SOFT_WEIGHT) | dict.fromkeys(STRICT, LIMIT)
+#: Most terms that a vocabulary may have: it goes to every worker.
+MAX_TERMS = 1_000_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -44,45 +51,56 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def count_terms(automaton, url: str) -> tuple[int, int]:
-    """Distinct strict and soft terms with boundaries on both sides."""
+def found_terms(automaton, url: str) -> dict[str, float]:
+    """Distinct terms with boundaries on both sides, and their weights."""
     low = url.translate(_LOWER)
-    strict, soft = set(), set()
-    for end, (term, is_strict) in automaton.iter(low):
+    out = {}
+    for end, (term, weight) in automaton.iter(low):
         start = end - len(term) + 1
         if (start == 0 or low[start - 1] not in _INNER) and (end + 1 == len(low) or low[end + 1] not in _INNER):
-            (strict if is_strict else soft).add(term)
-    return len(strict), len(soft)
+            out[term] = weight
+    return out
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def automaton_of(strict=STRICT, soft=SOFT):
+def automaton_of(vocabulary=VOCABULARY):
     out = ahocorasick.Automaton()
-    for terms, is_strict in ((soft, False), (strict, True)):
-        for term in terms:
-            out.add_word(term, (term, is_strict))
+    for term, weight in vocabulary.items():
+        out.add_word(term, (term, float(weight)))
     out.make_automaton()
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT) -> DataFrame:
-    """page_id, url, host, path, rule, n_strict, n_soft, verdict for each row."""
+def vocabulary_of(terms: DataFrame) -> dict[str, float]:
+    """The vocabulary that a table (term, weight) holds: lower-cased, the largest weight of a repeated term, without nulls and empty terms."""
+    low = F.translate(F.col("term"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = terms.select(low.alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' and weight is not null")
+    rows = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return {r.term: r.weight for r in rows}
+
+
+def judge(pages: DataFrame, rules=RULES, vocabulary=VOCABULARY, limit: float = LIMIT) -> DataFrame:
+    """page_id, url, host, path, rule, n_strict, n_soft (distinct terms of ``limit`` or more, and of less), weight, verdict for each row."""
     ids = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton_of(strict, soft)
+        automaton = automaton_of(vocabulary)
         for b in batches:
-            counts = [(0, 0) if u is None else count_terms(found, u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c[0] for c in counts], pa.int32()), pa.array([c[1] for c in counts], pa.int32())], names=["page_id", "url", "n_strict", "n_soft"])
+            found = [[] if u is None or not vocabulary else list(found_terms(automaton, u).values()) for u in b.column(1).to_pylist()]
+            strict = [sum(w >= limit for w in x) for x in found]
+            soft = [len(x) - n for x, n in zip(found, strict, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(strict, pa.int32()), pa.array(soft, pa.int32()), pa.array([math.fsum(x) for x in found], pa.float64())], names=["page_id", "url", "n_strict", "n_soft", "weight"])
 
-    counted = pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(run, f"page_id {ids}, url string, n_strict int, n_soft int")
+    counted = pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(run, f"page_id {ids}, url string, n_strict int, n_soft int, weight double")
     host, path = host_path(F.col("url"))
     out = counted.withColumn("host", host).withColumn("path", path)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when((F.col("n_strict") >= 1) | (F.col("n_soft") >= min_soft), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("weight") >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, method))
 
 
@@ -108,7 +126,7 @@ r as (select *, case
   {_hits(STRICT)} as n_strict, {_hits(SOFT)} as n_soft from p)
 select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-    when n_strict >= 1 or n_soft >= {MIN_SOFT} then 'block' else 'allow' end as verdict,
+    when n_strict >= 1 or {SOFT_WEIGHT} * n_soft >= {LIMIT} then 'block' else 'allow' end as verdict,
   cast(n_strict as int) as n_strict, cast(n_soft as int) as n_soft
 from r
 """

@@ -59,7 +59,7 @@ def test_failing_host_loses_its_documents(spark):
 
 def test_warc_round_trip(spark):
     big, small = "é" * 80, "tiny"
-    rows = [(3, "http://a/\r\nx", big), (2, None, big), (2, None, big), (9, "u", small), (8, "u", small), (5, "u", None), (None, "u", big)]
+    rows = [(3, "http://a/\r\nx\u2028\u0085WARC-Type: x ÅWARC-Payload-Digest: y", big), (2, None, big), (2, None, big), (9, "u", small), (8, "u", small), (5, "u", None), (None, "u", big)]
     pages = spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows], PAGES)
     path = scratch(spark, "warc-test")
     warc.write_archive(pages, path)
@@ -67,6 +67,8 @@ def test_warc_round_trip(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(0, "revisit", 2), (2, "response", None), (2, "revisit", 2), (3, "revisit", 2), (5, "response", None), (8, "response", None), (9, "response", None)]
     for r in got:
         assert r.type_read == r.record_type and r.digest_read == r.digest and r.block_bytes == r.length_read
+        assert r.page_read == r.page_id and r.refers_read == r.refers_to
+        assert r.block_digest == (r.digest if r.record_type == "response" else hashlib.sha256(b"").hexdigest())
     assert {r.payload_bytes for r in got} == {0, 4, 160}
     assert spark.read.parquet(f"{path}/blobs").count() == 3
     assert {bytes(r.payload) for r in warc.resolved(spark, path).collect()} == {b"", small.encode(), big.encode()}
@@ -80,6 +82,12 @@ def test_url_rules_and_terms(spark):
     got = [(r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages).orderBy("page_id").collect()]
     assert got[0] == ("x.example.net", "/en/a", "example.net/en/", "allow")
     assert [g[3] for g in got] == ["allow", "block", "allow", "block", "allow", "block", "allow", "allow", "allow", "allow", "allow", "allow"]
+    terms = spark.createDataFrame([("Unporned", 0.4), ("casino", 0.3), ("casino", 0.6), ("poker", 0.4), (None, 9.0), ("", 9.0), ("x", None)], "term string, weight double")
+    words = urlfilter.vocabulary_of(terms)
+    assert words == {"unporned": 0.4, "casino": 0.6, "poker": 0.4}
+    weighed = {r.page_id: (r.n_strict, r.n_soft, r.weight, r.verdict) for r in urlfilter.judge(pages.unionByName(pages), (), words).collect()}
+    assert weighed[4] == (0, 1, 0.4, "allow") and weighed[5] == (0, 2, 1.0, "block") and weighed[6] == (0, 1, 0.6, "allow") and weighed[3][3] == "allow"
+    assert urlfilter.judge(pages.where("false")).collect() == []
     assert got[7][:3] == ("a.net", "", None) and got[8][:2] == ("", "") and got[11][:2] == ("h", "")
 
 
@@ -89,6 +97,36 @@ def test_main_text():
     assert html.main_text(page, tree) == "A & B\n\none twothree four\n\nBe."
     assert html.main_text(None, tree) == html.main_text("", tree) == html.main_text("<", tree).strip("<") == ""
     assert html.main_text("<article><p>cut of", tree) == "cut of"
+    long = "a text of many words that goes on for a while and tells a story to whoever reads it to the end of this line"
+    for start, end in (
+        ('<div class="page nav-open"><article>', "</article></div>"),
+        ('<div class="post-body popular-science">', "</div>"),
+        ('<article><section id="related-work">', "</section></article>"),
+        ('<div class="layout sidebar"><main>', "</main></div>"),
+    ):
+        page = f"{start}<p>{long}</p><p>{long}</p>{end}<div class='related-posts'><p>{long}</p></div><div id=sidebar><main></main><p>{long}</p></div>"
+        assert html.main_text(page, tree) == f"{long}\n\n{long}", start
+    assert html.main_text(f"<article><p>{long}</p></article><div class='comments'><article class='comment'><p>{long}</p></article><article><p>{long}</p></article></div>", tree) == long
+
+
+def test_pages_with_odd_rows(spark):
+    """Nulls, repeated rows, a very long page, clashing columns and an empty table."""
+    long = "words and more words " * 100_000
+    pages = spark.createDataFrame([(None, None, None, "x", 1), (1, "u", "<article><p>a b</p>", "x", 1), (1, "u", "<article><p>a b</p>", "x", 1), (2, "u", f"<article><p>{long}</p>", "x", 1)], PAGES.replace("digest", "text").replace("salt", "n_chars"))
+    got = sorted((r.page_id or 0, r.url, r.n_chars, r.text) for r in html.extract(pages).collect())
+    assert got == [(0, None, 0, ""), (1, "u", 3, "a b"), (1, "u", 3, "a b"), (2, "u", len(long) - 1, long.strip())]
+    assert html.extract(pages.where("false")).collect() == []
+
+
+def test_tree_on_held_out_pages():
+    """Trained without one page of the table, the tree classifies that page's blocks."""
+    right = total = 0
+    for k, page in enumerate(html.LABELLED):
+        tree = html.train(html.LABELLED[:k] + html.LABELLED[k + 1 :])
+        blocks = [html.Block("", w, linked, bool(b), bool(a), bool(h)) for _, w, linked, b, a, h in page]
+        right += sum(html.is_main(tree, row) == bool(label[0]) for row, label in zip(html.features(blocks), page, strict=True))
+        total += len(page)
+    assert right >= 0.85 * total
 
 
 def merges_of(rng, letters):
