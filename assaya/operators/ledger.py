@@ -22,6 +22,7 @@ DIALECT = {
     "SERIES": ("sequence", "generate_series"),
     "DISTINCT_OF": ("array_distinct", "list_distinct"),
     "COMMON": ("array_intersect", "list_intersect"),
+    "PREFIXES": (r"array(substr(\1, 1, 4), substr(\1, 1, 10))", r"[substr(\1, 1, 4), substr(\1, 1, 10)]"),
     "WORDS_OF": (r"regexp_extract_all(lower(\1), '[a-z][a-z0-9_]*', 0)", r"regexp_extract_all(lower(\1), '[a-z][a-z0-9_]*')"),
 }
 
@@ -53,8 +54,8 @@ SQL = {
     "active_suppression": f"with {FINDINGS}, {UNIQUE}, rules as (select * from (values (1, 'rule.AF', cast(null as varchar(20)), date '1999-01-01'), (2, 'rule.NO', 'src/f3.py', cast(null as date)), (3, 'rule.RF', cast(null as varchar(20)), date '1990-01-01'), (4, 'rule.NO', 'src/f3.py', date '1999-01-01')) as t(suppression_id, rule_id, file_path, expires)) select o.finding_id, min(s.suppression_id) as suppression_id from one o join rules s on s.rule_id = o.rule_id and coalesce(s.file_path, o.file_path) = o.file_path and coalesce(s.expires, date '9999-01-01') > o.l_shipdate group by o.finding_id",
     "latest_feedback": f"with {FINDINGS} select file_path, max_by(finding_id, concat(cast(l_shipdate as varchar(30)), finding_id)) as latest from findings group by file_path",
     # lookups and validation
-    "finding_page": f"{RANKED} select finding_id, place from (select finding_id, row_number() over (order by score desc, file_path, start_off, rule_id, finding_id) as place from scored) as x where place > 40 and place <= 60",
-    "unique_prefix": f"with {FINDINGS}, {UNIQUE}, asked as (select distinct substr(finding_id, 1, 10) as prefix from one where start_off % 10 = 0 union select 'none' as prefix) select prefix, count(finding_id) as matches, case count(finding_id) when 0 then 'not-found' when 1 then 'found' else 'ambiguous' end as status from asked left join one on substr(finding_id, 1, length(prefix)) = prefix group by prefix",
+    "finding_page": f"{RANKED}, first as (select finding_id, score, file_path, start_off, rule_id from scored order by score desc, file_path, start_off, rule_id, finding_id limit 60) select finding_id, place from (select finding_id, row_number() over (order by score desc, file_path, start_off, rule_id, finding_id) as place from first) as x where place > 40",
+    "unique_prefix": f"with {FINDINGS}, {UNIQUE}, asked as (select distinct substr(finding_id, 1, 10) as prefix from one union select 'none' as prefix), keyed as (select finding_id, EXPLODE(PREFIXES(finding_id)) as prefix from one) select a.prefix, count(k.finding_id) as matches, case count(k.finding_id) when 0 then 'not-found' when 1 then 'found' else 'ambiguous' end as status from asked a left join keyed k on k.prefix = a.prefix group by a.prefix",
     "helper_accounting": "with asked as (select o_orderkey as k from {orders} where o_orderkey % 3 = 0), got as (select distinct l_orderkey as k from {lineitem} where l_orderkey % 6 = 0 or l_orderkey % 10 = 1) select coalesce(a.k, g.k) as k, case when g.k is null then 'missing' when a.k is null then 'unknown' else 'ok' end as status from asked a full outer join got g on a.k = g.k",
     "verdict_verification": f"with {FINDINGS}, {UNIQUE}, line as (select concat(finding_id, case when start_off % 7 = 0 then 'x' else '' end) as finding_id, case when start_off % 5 = 0 then 'rule.XX' else rule_id end as rule_id, start_off + case when start_off % 11 = 0 then 1 else 0 end as start_off from one where start_off % 2 = 0) select l.finding_id, case when o.finding_id is null then 'unknown-finding' when o.rule_id <> l.rule_id then 'rule-mismatch' when o.start_off <> l.start_off then 'location-mismatch' else 'ok' end as outcome from line l left join one o on o.finding_id = l.finding_id",
     "risk_escalation": f"with {FINDINGS}, {UNIQUE}, b as (select finding_id, case when start_off % 4 = 0 then least(3, r + 1) else r end as r from one) select case when b.r > o.r then 'regression-candidate' else 'other' end as label, count(*) as n from one o join b on b.finding_id = o.finding_id group by 1",
@@ -68,7 +69,7 @@ SQL = {
     "graph_incoming": f"with {EDGES} select to_id, from_id from (select *, row_number() over (partition by to_id order by from_id) as k from edges where kind = 'calls') as x where k <= 100",
     "graph_upsert": f"with {EDGES}, gone as (select distinct from_id as node_id from edges where from_id like 's%' and length(from_id) = 2), kept as (select e.* from edges e left join gone g on g.node_id = e.from_id left join gone h on h.node_id = e.to_id where g.node_id is null and h.node_id is null), fresh as (select node_id as from_id, 'n0' as to_id, 'imports' as kind from gone) select from_id, to_id, kind from kept union all select from_id, to_id, kind from fresh",
     "surface_diff": "with a as (select p_partkey as id, p_type as signature from {part} where p_partkey % 5 <> 0), b as (select p_partkey as id, case when p_partkey % 7 = 0 then 'changed' else p_type end as signature from {part} where p_partkey % 3 <> 0) select case when a.id is null then 'added' when b.id is null then 'removed' when a.signature is distinct from b.signature then 'changed' else 'same' end as status, count(*) as n from a full outer join b on a.id = b.id group by 1",
-    "retrieval_score": f"with {EDGES}, deg as (select to_id, least(count(*), 100) as n from edges group by to_id), q as (select DISTINCT_OF(WORDS_OF('furiously special packages customer asia deposits')) as ws), node as (select concat('n', cast(n_nationkey as varchar(20))) as id, DISTINCT_OF(WORDS_OF(n_name)) as ws, n_nationkey % 2 = 0 as exported from {{nation}} union all select concat('r', cast(r_regionkey as varchar(20))), DISTINCT_OF(WORDS_OF(r_name)), true from {{region}}), s as (select id, round(1e0 * SIZE(COMMON(node.ws, q.ws)) / SIZE(q.ws) + case when exported then 1e-1 else 0e0 end + least(2e-1, 1e-2 * coalesce(n, 0)), 6) as score from node cross join q left join deg on deg.to_id = node.id) select id, score from (select *, row_number() over (order by score desc, id) as k from s) as x where k <= 10",
+    "retrieval_score": f"with {EDGES}, deg as (select to_id, least(count(*), 100) as n from edges group by to_id), q as (select DISTINCT_OF(WORDS_OF('furiously special packages customer asia deposits')) as ws), node as (select concat('n', cast(n_nationkey as varchar(20))) as id, DISTINCT_OF(WORDS_OF(n_name)) as ws, n_nationkey % 2 = 0 as exported from {{nation}} union all select concat('r', cast(r_regionkey as varchar(20))), DISTINCT_OF(WORDS_OF(r_name)), true from {{region}} union all select concat('p', cast(p_partkey as varchar(20))), DISTINCT_OF(WORDS_OF(concat(p_name, ' ', p_type))), p_partkey % 2 = 0 from {{part}}), s as (select id, round(1e0 * SIZE(COMMON(node.ws, q.ws)) / SIZE(q.ws) + case when exported then 1e-1 else 0e0 end + least(2e-1, 1e-2 * coalesce(n, 0)), 6) as score from node cross join q left join deg on deg.to_id = node.id) select id, score from s order by score desc, id limit 10",
 }
 
 

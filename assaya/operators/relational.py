@@ -47,7 +47,7 @@ SQL = {
     "policy_apply": f"with {FINDINGS}, {UNIQUE}, capped as (select finding_id, rule_id, least(c, case when rule_id = 'rule.AF' then 1 else 2 end) as c, r, n_counter, case maximum_action when 'ignore' then 0 when 'observe' then 1 else 2 end as a from one), lowered as (select *, case when n_counter > 0 or r = 3 then least(a, 1) else a end as b, greatest(0e0, least(1e0, case c when 1 then 4e-1 when 2 then 7e-1 else 95e-2 end - least(6e-1, 2e-1 * n_counter))) as score from capped) select finding_id, case when score < 5e-1 then 'C1' else concat('C', cast(c as varchar(20))) end as final_confidence, case case when b = 2 and score < case r when 1 then 55e-2 when 2 then 7e-1 else 9e-1 end then 1 else b end when 0 then 'ignore' when 1 then 'observe' else 'propose' end as final_action, round(score, 6) as score from lowered",
     "scan_diff": f"with {FINDINGS}, {UNIQUE}, a as (select finding_id, start_off, end_off from one where l_shipdate < date '1996-01-01' or start_off % 3 = 0), b as (select finding_id, case when start_off % 5 = 0 then start_off + 1 else start_off end as start_off, end_off from one where l_shipdate >= date '1994-01-01') select case when a.finding_id is null then 'added' when b.finding_id is null then 'resolved' when a.start_off = b.start_off and a.end_off = b.end_off then 'unchanged' else 'changed' end as status, count(*) as n from a full outer join b on a.finding_id = b.finding_id group by 1",
     "verdict_classify": f"with {FINDINGS}, {UNIQUE}, ledger as (select finding_id, case when start_off % 4 = 0 then 'old' else source_hash end as source_hash from one where start_off % 3 = 0) select o.finding_id, case when l.finding_id is null then 'new' when l.source_hash = o.source_hash then 'same' else 'stale' end as status from one o left join ledger l on o.finding_id = l.finding_id where o.start_off % 2 = 0 union all select l.finding_id, 'resolved' as status from ledger l left join (select finding_id from one where start_off % 2 = 0) o on o.finding_id = l.finding_id where o.finding_id is null",
-    "rule_health": f"with {FEEDBACK}, g as (select rule_id, count(*) as samples, sum(case when outcome = 'accepted' then 1 else 0 end) as accepted, sum(case when unsafe then 1 else 0 end) as unsafe from feedback group by rule_id) select rule_id, samples, cast(accepted as bigint) as accepted, cast(unsafe as bigint) as unsafe, round({_wilson('accepted', 'samples', '-')}, 6) as lower_bound, case when unsafe > 0 then 'disabled' when samples < 20 then 'insufficient-data' when {_wilson('accepted', 'samples', '-')} >= 9e-1 then 'healthy' else 'observe-only' end as status from g",
+    "rule_health": f"with {FEEDBACK}, g as (select rule_id, count(*) as samples, sum(case when outcome = 'accepted' then 1 else 0 end) as accepted, sum(case when unsafe then 1 else 0 end) as unsafe from feedback group by rule_id) select rule_id, samples, cast(accepted as bigint) as accepted, cast(samples - accepted as bigint) as rejected, round(1e0 * accepted / samples, 6) as rule_precision, cast(unsafe as bigint) as unsafe, round({_wilson('accepted', 'samples', '-')}, 6) as lower_bound, case when unsafe > 0 then 'disabled' when samples < 20 then 'insufficient-data' when {_wilson('accepted', 'samples', '-')} >= 9e-1 then 'healthy' else 'observe-only' end as status from g",
     "selective_threshold": f"with {FEEDBACK_BIG}, s as (select rule_id, evidence_score, count(*) as n, sum(case when outcome <> 'accepted' or unsafe then 1 else 0 end) as bad from feedback group by rule_id, evidence_score), t as (select rule_id, evidence_score, sum(n) over w as n, sum(bad) over w as bad from s window w as (partition by rule_id order by evidence_score desc rows between unbounded preceding and current row)) select rule_id, min(evidence_score) as threshold from t where n >= 20 and {_wilson('bad', 'n', '+')} <= 1e-1 group by rule_id",
     "conformal_threshold": f"with {FEEDBACK_BIG}, a as (select rule_id, 1 - evidence_score as miss, row_number() over (partition by rule_id order by 1 - evidence_score) as k, count(*) over (partition by rule_id) as n from feedback where outcome = 'accepted') select rule_id, round(greatest(0e0, least(1e0, 1 - miss)), 6) as threshold from a where n >= 20 and k = least(n, cast(ceil((n + 1) * 9e-1) as bigint))",
     "graph_degree": f"with {EDGES} select to_id as node_id, count(*) as in_degree from edges group by to_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaya.operators import behavior, ledger, relational, text, wording
+from assaya.operators import behavior, ledger, relational, review, text, wording
 
-QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES | ledger.QUERIES | wording.QUERIES
-ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL | ledger.ORACLE_SQL | wording.ORACLE_SQL
+QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES | ledger.QUERIES | wording.QUERIES | review.QUERIES
+ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL | ledger.ORACLE_SQL | wording.ORACLE_SQL | review.ORACLE_SQL
