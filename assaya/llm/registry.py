@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, html, jaccard, passages, quality, tokenfile, toxicity, urlfilter, warc
+from . import bpe, centroids, decontam, html, jaccard, passages, quality, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": passages.op8_substring_dedup,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_url_filters": urlfilter.op10_url_filters,
+    "op11_centroids": centroids.op11_centroids,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_decontamination": decontam.ORACLE_SQL,
     "op9_ngram_jaccard": jaccard.ORACLE_SQL,
     "op10_url_filters": urlfilter.ORACLE_SQL,
+    "op11_centroids": centroids.ORACLE_SQL,
 }
