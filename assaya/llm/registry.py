@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontam, html, jaccard, passages, quality, tokenfile, toxicity, urlfilter, warc
+from . import bpe, centroids, decontam, html, jaccard, packing, passages, quality, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_centroids": centroids.op11_centroids,
+    "op12_packing": packing.op12_packing,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
