@@ -15,9 +15,9 @@ with a small table; driver and plan see counts only. A plan has at most one row
 and each run of sequences that it goes to, and a length adds four runs at most, so it has under
 8 * capacity ** 2 rows (a few thousand on real lengths).
 
-Texts are cut at ASCII white space for encoding, which no token of the vocabulary crosses, and the
-ids of a word are remembered, up to ``REMEMBER_BYTES``; a text that holds the string of a special
-token goes to the library as a whole.
+Texts are cut at ASCII white space for encoding, which no token of the vocabulary crosses, after A-Z
+are lower-cased, as the tokenizer does with all letters. The ids of a word are remembered, up to
+``REMEMBER_BYTES``; a text that holds the string of a special token, in either case, goes to the library whole.
 
 Defined results: a null or empty text is a document of the end id alone; only documents longer
 than a sequence are cut; repeated rows are packed one by one; null doc_ids are carried along; an
@@ -44,7 +44,9 @@ from .common import table, written
 
 CAPACITY, END_ID = 2048, 0
 #: About the bytes that remembered words may take in a worker, and the longest word that is remembered.
-REMEMBER_BYTES, LONGEST = 64_000_000, 200
+REMEMBER_BYTES, LONGEST = 120_000_000, 200
+#: Words encoded together; marks that are cut from a word's end.
+TOGETHER, MARKS = 20, ".,;:!?"
 
 
 def default_vocabulary() -> str:
@@ -64,28 +66,63 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
+            self.special = [t["content"].encode().lower() for t in json.load(f)["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(self.tokenizer.get_vocab_size())])
+        self.marks = dict(zip(MARKS, self._library(list(MARKS)), strict=True)) | {"": b""}
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters. Each ends in a token with a word's end, so they are encoded some at a time and cut there."""
+        out: list[bytes] = []
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # a letter that is lower-cased to more than letters
+                out += self._library(group)
+        return out
+
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found, cores = {}, {}
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            mark = s[-1] if s[-1] in self.marks else ""
+            core = s[:-1] if mark else s
+            if core.isalpha() and max(core) < "\u0250":
+                cores[w] = core, mark
+            else:
+                found[w] = s
+        found = dict(zip(found, self._library(list(found.values())), strict=True))
+        each = list({c for c, _ in cores.values()})
+        known = dict(zip(each, self._of_words(each), strict=True))
+        found.update((w, known[c] + self.marks[m]) for w, (c, m) in cores.items())
+        return found
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        whole = [any(s in t for s in self.special) for t in texts]
-        cut = [[t] if w else t.split() for t, w in zip(texts, whole, strict=True)]
+        low = [t.lower() for t in texts]
+        if whole := [k for k, t in enumerate(low) if any(s in t for s in self.special)]:
+            out = dict(zip(whole, self._library([texts[k].decode("utf-8", "replace") for k in whole]), strict=True))
+            rest = iter(self.encode_all([t for k, t in enumerate(texts) if k not in out]))
+            return [out[k] if k in out else next(rest) for k in range(len(texts))]
+        cut = [t.split() for t in low]
         if self.size > REMEMBER_BYTES:
             self.known, self.size = {}, 0
-        new = [w for w in set().union(*cut) if w not in self.known]
-        found = dict(zip(new, self._library(new), strict=True))
-        kept = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
-        self.known |= kept
-        self.size += sum(160 + 3 * len(w) for w in kept)
-        if len(kept) == len(found):
-            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return [b"".join([found[w] if w in found else self.known[w] for w in c]) for c in cut]
+        found = self._learned(list(set().union(*cut).difference(self.known)))
+        known = self.known
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        self.size += 200 * len(found)
+        for w in [w for w in found if len(w) > LONGEST]:
+            del known[w]
+        return out
 
 
 _LOADED: dict[str, Words] = {}
@@ -292,4 +329,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    rows, _ = written(pieces(table(spark, sf_dir, "documents")), "pieces")
+    return placed(rows.drop("ids"))[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
