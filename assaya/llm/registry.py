@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontam, html, jaccard, packing, passages, quality, tokenfile, toxicity, urlfilter, warc
+from . import align, bpe, centroids, decontam, html, jaccard, packing, passages, quality, tokenfile, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_centroids": centroids.op11_centroids,
     "op12_packing": packing.op12_packing,
+    "op13_alignment": align.op13_alignment,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
