@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import use_checkpoints
+
 WINDOW_US = 15 * 60 * 1_000_000
 #: Signals by priority.
 SIGNALS = (("content-hash", "content_hash"), ("semantic-hash", "semantic_hash"), ("template", "template_key"))
@@ -57,15 +59,7 @@ def components(links: DataFrame) -> DataFrame:
     and links are rewritten to what their ends point to. Rounds go on until no link is left.
     """
     spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if (spark.sparkContext.master or "").split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            found = tempfile.mkdtemp(prefix="assaya-")
-        spark.sparkContext.setCheckpointDir(found)
+    use_checkpoints(spark)
     u, v = F.col("left_id"), F.col("right_id")
     left = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct().checkpoint()
     labels = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()

@@ -38,7 +38,7 @@ _PRECISION = "case when actions > 0 then round(1e0 * correct / actions, 6) end a
 SQL = {
     # scans, filters and functions
     "language_routing": "select page_id, case when ext in ('py', 'pyi') then 'python' when ext in ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') then 'typescript' when ext in ('md', 'json', 'toml') then 'graph-only' else 'unsupported' end as route from (select page_id, case page_id % 6 when 0 then 'py' when 1 then 'ts' when 2 then 'md' when 3 then 'jsx' when 4 then 'rs' else 'toml' end as ext from {pages}) as x",
-    "evidence_kind": f"with {FINDINGS}, k as (select case when rule_id like 'dependency.%' then 'resolution' when rule_id like 'errors%' or rule_id like 'data%' then 'control-flow' when rule_id like 'structure%' then 'reference' else 'diagnostic' end as kind from (select case c when 1 then 'dependency.unresolved' when 2 then 'errors.suppressed' else case r when 1 then 'structure.duplicate-capability' else rule_id end end as rule_id from findings) as x) select kind, count(*) as n from k group by kind",
+    "evidence_kind": f"with {FINDINGS}, k as (select case when rule_id like 'dependency.%' then 'resolution' when rule_id like 'errors.%' or rule_id like 'data.%' then 'control-flow' when rule_id like 'structure.%' then 'reference' else 'diagnostic' end as kind from (select case c when 1 then 'dependency.unresolved' when 2 then 'errors.suppressed' else case r when 1 then 'structure.duplicate-capability' else rule_id end end as rule_id from findings) as x) select kind, count(*) as n from k group by kind",
     "sarif_level": f"with {FINDINGS}, {UNIQUE} select finding_id, case when c > 1 and rule_id like 'rule.R%' then 'error' when c = 1 then 'note' else 'warning' end as level from one",
     "utf16_length": "select doc_id, cast(length(coalesce(text, '')) + length(REPLACE_ALL(coalesce(text, ''), '[^\U00010000-\U0010FFFF]', '')) as bigint) as utf16_units from {documents}",
     "offset_to_position": "select doc_id, cast(length(head) - length(replace(head, chr(10), '')) + 1 as bigint) as line, cast(length(REPLACE_ALL(head, '(?s).*[\n]', '')) + 1 as bigint) as col from (select doc_id, substr(text, 1, cast(floor(n_chars / 2) as int)) as head from {documents} where text is not null) as x",
