@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .policy import _VIEWS, CONFIDENCES, RISKS, SCORES, _source, named, ordinal
+from .relational import RANKED, run
 from .shared import use_checkpoints
 
 # Weights and bands of the priority score, and limits of evidence for a number of findings.
@@ -206,7 +207,13 @@ def output_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "allowed long, evidence long, findings long, skipped_from long, skipped_to long, reduced boolean, size long")
 
 
-QUERIES = {"finding_priority": finding_priority, "evidence_bound": evidence_bound, "output_fit": output_fit}
+def finding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of every finding of the line items, with its score and severity."""
+    rows = run(spark, sf_dir, f"{RANKED} select finding_id, score, file_path, start_off, rule_id, case when score >= 85 then 'Critical' when score >= 65 then 'High' when score >= 40 then 'Medium' else 'Low' end as severity from scored")
+    return placed(rows, F.desc("score"), F.col("file_path"), F.col("start_off"), F.col("rule_id"), F.col("finding_id")).select("finding_id", "score", "severity", "place")
+
+
+QUERIES = {"finding_rank": finding_rank, "finding_priority": finding_priority, "evidence_bound": evidence_bound, "output_fit": output_fit}
 _RANK = f"""with {_VIEWS}, sc as (select *, cast(floor(1e2 * (6e-1 * (r / 3e0) + 25e-2 * (c / 3e0) + 15e-2 * case when line % 4 = 0 then (line % 11) / 10 else [4e-1, 7e-1, 95e-2][c] end) + 5e-1) as int) as score from fi),
 rk as (select *, row_number() over (order by score desc, file_path, line, rule_id, finding_id) as place from sc)"""
 _SIZES = f"""{_RANK}, fb2 as (select place, 60 + length(finding_id) + score as bytes, place % 7 + 40 as d from rk), eb as (select row_number() over (order by o_orderkey) as place, o_orderkey % 90 + 100 as bytes from orders),
@@ -222,7 +229,7 @@ def _size(e: str, f: str, s: str, d: str) -> str:
 
 _STEP = "case when e > 0 then e // 2 else 0 end as e, case when e = 0 then f // 2 else f end as f"
 _TAIL = "sl[s] - coalesce(sl[s - m + 1], 0) + 120 + m - 1"
-_FIT = f"""with recursive {_SIZES.removeprefix("with ")}, al as (select unnest([100000000, 300000, 20000]) as allowed),
+_FIT = f"""with recursive {_SIZES.removeprefix("with ")}, al as (select cast(unnest([100000000, 300000, 20000]) as bigint) as allowed),
 p1 as (select allowed, 0 as n, len(el) as e, len(fl) as f, len(sl) as s from al, pre union all
   select allowed, n + 1, {_STEP}, case when e = 0 and f = 0 then greatest(1, s // 2) else s end as s from p1, pre where n < {HALVINGS} and (e > 0 or f > 0 or s > 1) and {_size("e", "f", "sl[s] + s - 1", "len(dl)")} > allowed),
 q1 as (select * from p1 qualify row_number() over (partition by allowed order by n desc) = 1),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assaya.operators import behavior, impact, ledger, policy, ranking, relational, review, text, wording
+from assaya.operators import behavior, coherence, digest, impact, ledger, policy, ranking, relational, review, text, wording
 
-QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES | ledger.QUERIES | wording.QUERIES | review.QUERIES | policy.QUERIES | ranking.QUERIES | impact.QUERIES
-ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL | ledger.ORACLE_SQL | wording.ORACLE_SQL | review.ORACLE_SQL | policy.ORACLE_SQL | ranking.ORACLE_SQL | impact.ORACLE_SQL
+QUERIES = behavior.QUERIES | text.QUERIES | relational.QUERIES | ledger.QUERIES | wording.QUERIES | review.QUERIES | policy.QUERIES | ranking.QUERIES | impact.QUERIES | coherence.QUERIES | digest.QUERIES
+ORACLE_SQL = behavior.ORACLE_SQL | text.ORACLE_SQL | relational.ORACLE_SQL | ledger.ORACLE_SQL | wording.ORACLE_SQL | review.ORACLE_SQL | policy.ORACLE_SQL | ranking.ORACLE_SQL | impact.ORACLE_SQL | coherence.ORACLE_SQL | digest.ORACLE_SQL
