@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,30 +30,75 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).select("id", "pos", reason.alias("reason"))
 
 
+def accepted(rows: DataFrame) -> DataFrame:
+    """The first row of each id, if its id, actor and time are there. First is by ``pos``, or without that column by time and then actor."""
+    place = [F.col("pos")] if "pos" in rows.columns else [F.col("t_us"), F.col("actor")]
+    first = rows.where(F.col("id") != "").groupBy("id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "id")), F.struct(*place)).alias("_e"))
+    return first.select("id", "_e.*").where((F.col("actor") != "") & F.col("t_us").isNotNull())
+
+
+_SLOTS = "rank int, left_id string, right_id string"
+
+
+def _linked(window_us: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads slots carried into a bucket, then the bucket's events in order, key by key; links each event to the foremost open slot of another actor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slots, queue = None, {}, []
+        for b in batches:
+            ranks, left, right = [], [], []
+            for rank, key, bucket, is_event, t, event, actor, start_t, start_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (rank, key, bucket):
+                    now, slots, queue = (rank, key, bucket), {}, []
+                if is_event:
+                    own = None
+                    while queue:
+                        at, first, other = queue[0]
+                        slot = slots.get(other)
+                        if slot is None or slot[0] != (at, first) or slot[2] < t - window_us:  # replaced, or idle for too long
+                            heappop(queue)
+                        elif other == actor:
+                            own = heappop(queue)
+                        else:
+                            ranks.append(rank)
+                            left.append(slot[1])
+                            right.append(event)
+                            break
+                    if own:
+                        heappush(queue, own)
+                start = start_t, start_id
+                if actor not in slots or slots[actor][0] != start:
+                    heappush(queue, (start_t, start_id, actor))
+                slots[actor] = start, event, t
+            if ranks:
+                yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["rank", "left_id", "right_id"])
+
+    return run
+
+
 def edges(rows: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
-    """left_id, right_id, signal: each event links to one earlier event of another actor with its key, in the window.
+    """left_id, right_id, signal: each accepted event links to one earlier event of another actor with its key, in the window.
 
     Per key, an actor holds one slot whose place is that of the actor's first event since it was last
     idle for longer than the window; an event links to the latest event of the foremost other slot.
-    The time bucket keeps hot keys apart: a partner lies in the same bucket or the one before.
+    Time is cut into buckets of a window, and what is open at the end of one is carried into the next
+    (a slot's latest event is never older). So a hot key is as many groups as it has buckets, each
+    read once in order, and time grows with the number of events, not with pairs of them.
     """
+    rows = accepted(rows)
     found = None
-    for rank, (signal, column) in enumerate(SIGNALS):
-        x = rows.where(F.col(column).isNotNull()).select("id", "actor", "t_us", F.col(column).alias("key"), F.lit(rank).alias("rank"), F.lit(signal).alias("signal"))
+    for rank, (_, column) in enumerate(SIGNALS):
+        x = rows.where(F.col(column).isNotNull()).select("id", "actor", "t_us", F.col(column).alias("key"), F.lit(rank).alias("rank"))
         found = x if found is None else found.unionByName(x)
-    order = [F.col("t_us"), F.col("id")]
-    actor = Window.partitionBy("rank", "key", "actor").orderBy(*order)
-    new = F.when(F.col("t_us") - F.lag("t_us").over(actor) <= window_us, 0).otherwise(1)
-    x = found.withColumn("new", new).withColumn("run", F.sum("new").over(actor))
-    first = F.min(F.struct("t_us", "id")).over(Window.partitionBy("rank", "key", "actor", "run"))
-    x = x.withColumn("start", first).withColumn("bucket", F.floor(F.col("t_us") / window_us))
-    later = x.select("rank", "signal", "key", F.col("id").alias("right_id"), F.col("actor").alias("a"), F.col("t_us").alias("t"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    near = (F.col("y_t") >= F.col("t") - window_us) & (F.struct("y_t", "left_id") < F.struct("t", "right_id")) & (F.col("y_actor") != F.col("a"))
-    y = x.select("rank", "key", "bucket", F.col("id").alias("left_id"), F.col("actor").alias("y_actor"), F.col("t_us").alias("y_t"), "start")
-    pairs = later.join(y, ["rank", "key", "bucket"]).where(near)
-    best = F.row_number().over(Window.partitionBy("rank", "right_id").orderBy(F.col("start.t_us"), F.col("start.id"), F.desc("y_t"), F.desc("left_id")))
-    one = pairs.withColumn("best", best).where("best = 1")
-    return one.groupBy("left_id", "right_id").agg(F.min_by("signal", "rank").alias("signal"))
+    actor = Window.partitionBy("rank", "key", "actor").orderBy("t_us", "id")
+    opens = F.when(F.coalesce(F.col("t_us") - F.lag("t_us").over(actor) <= window_us, F.lit(False)), F.lit(None)).otherwise(F.struct("t_us", "id"))
+    x = found.withColumn("start", F.last(opens, ignorenulls=True).over(actor.rowsBetween(Window.unboundedPreceding, 0))).withColumn("bucket", F.floor(F.col("t_us") / window_us))
+    carried = x.groupBy("rank", "key", "actor", "start", "bucket").agg(F.max(F.struct("t_us", "id")).alias("e"))
+    shape = lambda e, t, bucket, is_event: ["rank", "key", bucket.alias("bucket"), F.lit(is_event).alias("is_event"), t.alias("t"), e.alias("event"), "actor", F.col("start.t_us").alias("start_t"), F.col("start.id").alias("start_id")]
+    both = x.select(*shape(F.col("id"), F.col("t_us"), F.col("bucket"), True)).unionByName(carried.select(*shape(F.col("e.id"), F.col("e.t_us"), F.col("bucket") + 1, False)))
+    dealt = both.repartition("rank", "key", "bucket").sortWithinPartitions("rank", "key", "bucket", "is_event", "t", "event")
+    links = dealt.mapInArrow(_linked(window_us), _SLOTS).groupBy("left_id", "right_id").agg(F.min("rank").alias("rank"))
+    return links.select("left_id", "right_id", F.element_at(F.array(*(F.lit(s) for s, _ in SIGNALS)), F.col("rank") + 1).alias("signal"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -80,8 +129,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame, window_us: int = WINDOW_US, least_actors: int = 2) -> DataFrame:
-    """first_id, event_ids, actor_ids, pairs, shared_signal and confidence of each component with enough actors."""
-    links = edges(rows, window_us).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else edges(rows, window_us)
+    """first_id, event_ids, actor_ids, pairs, shared_signal and confidence of each component of accepted events with enough actors."""
+    rows = accepted(rows)
+    use_checkpoints(rows.sparkSession)
+    links = edges(rows, window_us).checkpoint()
     labels = components(links)
     members = labels.join(rows.select(F.col("id").alias("node"), "actor"), "node")
     groups = members.groupBy("label").agg(F.array_sort(F.collect_set("node")).alias("ids"), F.array_sort(F.collect_set("actor")).alias("actors")).where(F.size("actors") >= least_actors)

@@ -75,12 +75,27 @@ def markdown_text(value: Column) -> Column:
     return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("\\" + c)), MARKS, out)
 
 
+#: Longest name of which all deletions are keys; of longer ones the pieces are.
+LONGEST_NAME = 64
+
+
+def _without(text: str, place: str) -> str:
+    return f"concat(substr({text}, 1, {place} - 1), substr({text}, {place} + 1))"
+
+
+#: Hashes of a name with none, one and two of its characters left out.
+_DELETIONS = f"""transform(concat(array(low), if(length(low) < 1, array(), transform(sequence(1, length(low)), i -> {_without("low", "i")})),
+  if(length(low) < 2, array(), flatten(transform(sequence(1, length(low) - 1), i -> transform(sequence(i, length(low) - 1), j -> {_without(f'({_without("low", "i")})', "j")}))))), x -> xxhash64(x))"""
+
+
 def nearest_declared(seen: DataFrame, declared: DataFrame, most: int = 2) -> DataFrame:
     """name, declared, distance: for each distinct ``name`` of ``seen`` the nearest of ``declared`` (name) within ``most`` edits, ignoring case.
 
-    Of several at one distance the smallest declared name is taken; names without one give no row. No cross join: ``most``
-    edits leave one of ``most + 1`` pieces of the declared name whole, moved by ``most`` places at most, so that the pieces
-    are the join's keys and the rest is exact.
+    Of several at one distance the smallest declared name is taken; names without one give no row. No cross join. Names
+    within two edits have a text in common that is left when at most two characters of each go, so these texts' hashes are
+    the join's keys: a part that many names share, such as a scope, is no key. For other ``most`` and for names of over
+    LONGEST_NAME characters the keys are ``most + 1`` pieces of the declared name, one of which is whole and moved by
+    ``most`` places at most. Candidates are verified exactly.
     """
     k = most + 1
     # Pieces of a name of n characters: piece p runs from n * p div k up to n * (p + 1) div k.
@@ -89,13 +104,19 @@ def nearest_declared(seen: DataFrame, declared: DataFrame, most: int = 2) -> Dat
       transform(filter(sequence(n * p div {k} - {most}, n * p div {k} + {most}), s -> s >= 0 and s + n * (p + 1) div {k} - n * p div {k} <= length(low)),
         s -> struct(n as n, p as p, substr(low, s + 1, n * (p + 1) div {k} - n * p div {k}) as piece))))))"""
 
-    def keyed(names: DataFrame, keys: str, name: str) -> DataFrame:
-        low = names.select(F.col("name").alias(name), F.lower("name").alias("low")).where(f"{name} is not null").distinct()
+    def keyed(names: DataFrame, keys: str, name: str, fit: str) -> DataFrame:
+        low = names.select(F.col("name").alias(name), F.lower("name").alias("low")).where(f"{name} is not null and {fit}").distinct()
         return low.select(name, F.col("low").alias(f"{name}_low"), F.explode(F.array_distinct(F.expr(keys))).alias("key"))
 
-    pairs = keyed(seen, probes, "name").join(keyed(declared, pieces, "declared"), "key").select("name", "name_low", "declared", "declared_low").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("name_low", "declared_low", most)).where("distance >= 0")
-    best = near.groupBy("name").agg(F.min(F.struct("distance", "declared")).alias("best"))
+    def near(seen_keys: str, declared_keys: str, fit: str) -> DataFrame:
+        pairs = keyed(seen, seen_keys, "name", fit).join(keyed(declared, declared_keys, "declared", fit), "key")
+        return pairs.withColumn("distance", F.levenshtein("name_low", "declared_low", most)).where("distance >= 0").select("name", "declared", "distance")
+
+    if most == 2:  # two names within two edits are both short or both long
+        found = near(_DELETIONS, _DELETIONS, f"length(low) <= {LONGEST_NAME + most}").unionByName(near(probes, pieces, f"length(low) > {LONGEST_NAME}"))
+    else:
+        found = near(probes, pieces, "true")
+    best = found.groupBy("name").agg(F.min(F.struct("distance", "declared")).alias("best"))
     return best.select("name", "best.declared", F.col("best.distance").cast("long").alias("distance"))
 
 
