@@ -1,15 +1,21 @@
 """A repository as a source: which files are scanned, what they hold, and what changed between two snapshots.
 
-Spark's file listing gives paths and sizes; folders, links, names and sizes are judged on those, and
-the content of a file is read only after that. Paths are relative to the root, with slashes.
+Spark's own listing passes over names that start with a dot or an underscore, ``__init__.py`` among
+them, so folders are listed here, level by level, without entering excluded ones or links, and no
+further than the limit of files. Names, links and sizes are judged on the listing; contents are read
+in tasks after that. Paths are relative to the root, with slashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that are left out, extensions and manifests that are scanned, and limits.
@@ -17,65 +23,62 @@ EXCLUDED_FOLDERS = (".git", ".hg", ".svn", ".venv", ".next", "venv", "node_modul
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", ".py", ".md")
 MANIFESTS = ("package.json", "pyproject.toml")
 MAX_BYTES, MAX_FILES = 1024 * 1024, 10_000
-
-
-def _links(root: str) -> list[str]:
-    """Links below a local root, by relative path, outside excluded folders; other file systems have none."""
-    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://[^/]*)?", root)
-    if scheme and scheme[1] != "file":
-        return []
-    top, found = root[scheme.end() :] if scheme else root, []
-    for folder, folders, names in os.walk(top):
-        for name in (*folders, *names):
-            full = os.path.join(folder, name)
-            if os.path.islink(full):
-                found.append(os.path.relpath(full, top).replace(os.sep, "/"))
-        folders[:] = [f for f in folders if f not in EXCLUDED_FOLDERS and not os.path.islink(os.path.join(folder, f))]
-    return found
-
-
-def _relative(spark: SparkSession, root: str, path: Column) -> Column:
-    """``path`` (of Spark's listing, with scheme) below the root."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath().rstrip("/")
-    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    return F.substring(plain, F.lit(len(base) + 2), F.lit(1 << 30))
-
-
-def candidate(path: Column) -> Column:
-    """Whether a relative path has a scanned name and lies in no excluded folder."""
-    parts = F.split(path, "/", -1)
-    name = F.element_at(parts, -1)
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    out = F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_FOLDERS))) | path.rlike(r"(?:^|/)\.[^/]+/worktrees/")
-    known = F.regexp_extract(F.lower(name), r"[^.](\.[^.]+)\z", 1).isin(*EXTENSIONS) | name.isin(*MANIFESTS)
-    return known & ~F.when(F.size(folders) > 0, out).otherwise(F.lit(False))
-
-
-def listing(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, size of the files to scan below ``root``; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(_relative(spark, root, F.col("path")).alias("path"), F.col("length").alias("size")).where(candidate(F.col("path")) & (F.col("size") <= max_bytes))
-    if links := _links(root):
-        gone = spark.createDataFrame([(x,) for x in links], "above string")
-        parts = F.split("path", "/", -1)
-        above = rows.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above"))
-        rows = rows.join(above.join(gone, "above").select("path").distinct(), "path", "left_anti")
-    return rows
-
-
-def discovered(files: DataFrame, most: int = MAX_FILES) -> tuple[DataFrame, bool]:
-    """The first ``most`` of a listing, and whether there are more: folders by depth, then all by name, as a search level by level meets them."""
-    parts = F.split("path", "/", -1)
-    first = files.orderBy(F.size(parts), parts).limit(most)
-    return first, files.limit(most + 1).count() > most
-
-
-def snapshot(spark: SparkSession, root: str, files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, hash, text of ``files`` (path, a listing): content is read for files of a fit size only, and joined by path."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    rows = content.select(_relative(spark, root, F.col("path")).alias("path"), "content").where(candidate(F.col("path")))
-    return rows.join(files.select("path").distinct(), "path", "left_semi").select("path", F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("text"))
+_WORKTREES = re.compile(r"(?:^|/)\.[^/]+/worktrees\Z")
+
+
+def _opened(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A path without a scheme is local; nothing in it is an escape."""
+    plain = re.sub(r"^file:(?://)?(?=/)", "", root)
+    fs, base = (pyarrow.fs.LocalFileSystem(), os.path.abspath(plain)) if plain.startswith("/") or "://" not in plain else pyarrow.fs.FileSystem.from_uri(plain)
+    return fs, base.rstrip("/")
+
+
+def discovered(root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[list[tuple[str, int]], bool]:
+    """(path, size) of the first ``most`` files to scan, in the order of a search level by level and by name, and whether there are more."""
+    fs, base = _opened(root)
+    local = isinstance(fs, pyarrow.fs.LocalFileSystem)
+    found: list[tuple[str, int]] = []
+    waiting = [""]
+    for folder in waiting:  # grows while it is read
+        try:
+            entries = sorted(fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{folder}")), key=lambda e: e.base_name)
+        except OSError:
+            continue
+        for e in entries:
+            name, path = e.base_name, f"{folder}/{e.base_name}".lstrip("/")
+            if local and os.path.islink(e.path):
+                continue
+            if e.type == pyarrow.fs.FileType.Directory:
+                if name not in EXCLUDED_FOLDERS and not _WORKTREES.search(path):
+                    waiting.append(path)
+            elif e.type == pyarrow.fs.FileType.File and (os.path.splitext(name)[1].lower() in EXTENSIONS or name in MANIFESTS) and e.size <= max_bytes:
+                if len(found) == most:
+                    return found, True
+                found.append((path, e.size))
+    return found, False
+
+
+def listing(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """pos, path, size of the files to scan."""
+    return spark.createDataFrame([(k, *f) for k, f in enumerate(discovered(root, most, max_bytes)[0])], "pos long, path string, size long")
+
+
+def snapshot(files: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path, hash, text of ``files`` (path) below the root, read in tasks; a file that has gone or grown too large since has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(root)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    with fs.open_input_file(f"{base}/{path}") as source:
+                        data = source.read() if source.size() <= max_bytes else None
+                except OSError:
+                    data = None
+                if data is not None:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "hash": [hashlib.sha256(data).hexdigest()], "text": [data.decode("utf-8", "replace")]})
+
+    return files.select("path").repartition("path").mapInArrow(run, "path string, hash string, text string")
 
 
 def refused(asked: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -6,24 +6,25 @@ from assaya.sources import corpus, repository
 
 def test_files_to_scan(spark, tmp_path):
     root = tmp_path / "a repo+%41"
-    for path, size in {"b.ts": 3, "a.PY": 1, "z/q.md": 2, "z/big.md": 2000, "x.txt": 1, "package.json": 2, "z/deep/pyproject.toml": 1, "node_modules/m.js": 1, "z/dist/m.js": 1, ".cache/worktrees/w.ts": 1, ".cache/k.ts": 1, "ü &.mjs": 1, ".ts": 1, "distant/m.js": 1}.items():
+    for path, size in {"b.ts": 3, "a.PY": 1, "__init__.py": 1, "z/q.md": 2, "z/big.md": 2000, "x.txt": 1, "package.json": 2, "z/deep/pyproject.toml": 1, "node_modules/m.js": 1, "z/dist/m.js": 1, ".cache/worktrees/w.ts": 1, ".cache/k.ts": 1, "ü &.mjs": 1, ".ts": 1, "distant/m.js": 1}.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text("x" * size)
     os.symlink(root / "b.ts", root / "link.ts")
     os.symlink(root / "z", root / "y")
+    want = ["__init__.py", "a.PY", "b.ts", "package.json", "ü &.mjs", ".cache/k.ts", "distant/m.js", "z/q.md", "z/deep/pyproject.toml"]
+    found, more = repository.discovered(str(root), max_bytes=1000)
+    assert [path for path, _ in found] == want and not more and found == repository.discovered(f"file://{root}", max_bytes=1000)[0]
+    assert repository.discovered(str(root), 3, 1000) == ([("__init__.py", 1), ("a.PY", 1), ("b.ts", 3)], True)
+    assert repository.discovered(f"{root}/none") == ([], False)
     files = repository.listing(spark, str(root), max_bytes=1000)
-    want = ["a.PY", "b.ts", "package.json", "ü &.mjs", ".cache/k.ts", "distant/m.js", "z/q.md", "z/deep/pyproject.toml"]
-    first, more = repository.discovered(files, 100)
-    assert [r.path for r in first.collect()] == want and not more
-    first, more = repository.discovered(files, 3)
-    assert [r.path for r in first.collect()] == want[:3] and more
-    before = repository.snapshot(spark, str(root), files).select("path", "hash").toPandas()
+    before = repository.snapshot(files, str(root)).select("path", "hash").toPandas()
     assert sorted(before["path"]) == sorted(want)
     (root / "b.ts").write_text("new")
     (root / "a.PY").unlink()
     (root / "n.cjs").write_text("n")
-    after = repository.snapshot(spark, str(root), repository.listing(spark, str(root), 1000))
+    after = repository.snapshot(repository.listing(spark, str(root), max_bytes=1000), str(root))
     assert {r.path: r.text for r in after.collect()}["b.ts"] == "new"
+    assert sorted(r.path for r in repository.snapshot(files, str(root), 2).collect()) == sorted(set(want) - {"a.PY", "b.ts"})
     got = {r.path: r.status for r in repository.changed(spark.createDataFrame(before), after).collect()}
     assert got == {"b.ts": "changed", "a.PY": "removed", "n.cjs": "added"}
 
