@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: The columns of every diagnostics table.
 DIAGNOSTIC = ("path", "tool", "file_path", "rule_id", "severity", "line", "col", "end_line", "end_col", "message", "suppressed")
+# Names of a tool and a rule that a SARIF log leaves out.
+NO_TOOL, NO_RULE = "unknown-tool", "unidentified"
+
 _REGION = "struct<startLine:int,startColumn:int,endLine:int,endColumn:int>"
 _SARIF = f"""struct<version:string,runs:array<struct<tool:struct<driver:struct<name:string,version:string,semanticVersion:string>>,
   results:array<struct<ruleId:string,level:string,message:struct<text:string,markdown:string>,suppressions:array<struct<kind:string>>,
@@ -35,15 +38,15 @@ def _each(reports: DataFrame, schema: str, items) -> DataFrame:
 def sarif(reports: DataFrame) -> DataFrame:
     """Results of SARIF 2.1.0 runs at their first location; other versions give nothing."""
     runs = reports.select("path", F.from_json("body", _SARIF).alias("d")).where("d.version = '2.1.0'").select("path", F.explode("d.runs").alias("run"))
-    x = runs.select("path", F.coalesce("run.tool.driver.name", F.lit("unknown-tool")).alias("name"), F.explode("run.results").alias("x"))
+    x = runs.select("path", F.coalesce("run.tool.driver.name", F.lit(NO_TOOL)).alias("name"), F.explode("run.results").alias("x"))
     at = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     region = at["region"]
     line, col = F.coalesce(region["startLine"], F.lit(1)), F.coalesce(region["startColumn"], F.lit(1))
-    rule = F.concat(F.lit("sarif."), F.regexp_replace("name", r"[^A-Za-z0-9_.-]+", "-"), F.lit("."), F.coalesce("x.ruleId", F.lit("unidentified")))
+    rule = F.concat(F.lit("sarif."), F.regexp_replace("name", r"[^A-Za-z0-9_.-]+", "-"), F.lit("."), F.coalesce("x.ruleId", F.lit(NO_RULE)))
     return _diagnostics(
         x, F.col("name"), file_path=at["artifactLocation"]["uri"], rule_id=rule, severity=F.coalesce("x.level", F.lit("none")), line=line, col=col,
         end_line=F.coalesce(region["endLine"], line), end_col=F.coalesce(region["endColumn"], col),
-        message=F.coalesce("x.message.text", "x.message.markdown", F.lit("SARIF result without a message")), suppressed=F.coalesce(F.size("x.suppressions") > 0, F.lit(False)),
+        message=F.coalesce("x.message.text", "x.message.markdown", F.lit("(no message)")), suppressed=F.coalesce(F.size("x.suppressions") > 0, F.lit(False)),
     )
 
 
