@@ -41,8 +41,8 @@ RULES = (
 )
 LEAST_SAMPLES, Z, ERROR = 20, 1.96, 0.1
 
-#: Offsets and lines that share a bin of an interval join.
-OFFSET_BIN, LINE_BIN = 1024, 64
+#: Offsets that share a bin of an interval join.
+OFFSET_BIN = 1024
 #: What discovered counterevidence says; the first is followed by the evidence's summary.
 REGISTERED, EXPORTED, COVERED = "registered in the repository graph: ", "part of the public surface", "line run under coverage"
 
@@ -130,24 +130,29 @@ def exported(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def missing_ranges(evidence: DataFrame) -> DataFrame:
-    """evidence_id, file_path, first, last: runs of successive missing lines of each coverage record."""
-    lines = F.array_sort(F.array_distinct("missing_lines"))
-    run = F.posexplode(lines).alias("k", "line")
-    return evidence.select("evidence_id", "file_path", run).where("line is not null").groupBy("evidence_id", "file_path", (F.col("line") - F.col("k")).alias("run")).agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("run")
+    """evidence_id, file_path, first, last: runs of successive missing lines of each coverage record, found within its row."""
+    rows = evidence.select("evidence_id", "file_path", F.array_sort(F.array_distinct(F.array_compact("missing_lines"))).alias("lines"))
+    lines = F.col("lines")
+    starts = F.filter(lines, lambda x, k: F.coalesce(F.get(lines, k - 1) != x - 1, F.lit(True)))
+    ends = F.filter(lines, lambda x, k: F.coalesce(F.get(lines, k + 1) != x + 1, F.lit(True)))
+    return rows.select("evidence_id", "file_path", F.explode(F.arrays_zip(starts.alias("first"), ends.alias("last"))).alias("r")).select("evidence_id", "file_path", "r.first", "r.last")
 
 
 def executed(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """finding_id of untested-code findings whose line some coverage record of the file does not miss.
 
-    A line is run unless all the file's records miss it: their number is compared with that of the ranges around it.
+    A line is run unless all the file's records miss it. How many miss it is a running sum over the
+    file's lines of where ranges of missing lines begin and end, summed by line beforehand, so no
+    finding meets the records one by one.
     """
     covers = evidence.where(F.startswith(F.col("provider_id"), F.lit(COVERAGE_PROVIDERS)) & F.col("file_path").isNotNull())
     records = covers.groupBy("file_path").agg(F.count_distinct("evidence_id").alias("records"))
-    bins = F.explode(F.sequence(F.floor(F.col("first") / LINE_BIN), F.floor(F.col("last") / LINE_BIN)))
-    ranges = missing_ranges(covers).select("evidence_id", "file_path", "first", "last", bins.alias("bin"))
-    asked = findings.where((F.col("rule_id") == UNTESTED_RULE) & F.col("line").isNotNull()).select("finding_id", "file_path", "line", F.floor(F.col("line") / LINE_BIN).alias("bin")).join(records, "file_path")
-    hit = asked.join(ranges, ["file_path", "bin"]).where("line between first and last").groupBy("finding_id").agg(F.count(F.lit(1)).alias("missed"))
-    return asked.join(hit, "finding_id", "left").where(F.coalesce("missed", F.lit(0)) < F.col("records")).select("finding_id")
+    turns = F.explode(F.array(F.struct(F.col("first").alias("line"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("line"), F.lit(-1).alias("d")))).alias("t")
+    marks = missing_ranges(covers).select("file_path", turns).groupBy("file_path", F.col("t.line").cast("long").alias("line")).agg(F.sum("t.d").alias("d")).withColumn("finding_id", F.lit(None).cast("string"))
+    asked = findings.where((F.col("rule_id") == UNTESTED_RULE) & F.col("line").isNotNull()).select("file_path", F.col("line").cast("long").alias("line"), F.lit(0).cast("long").alias("d"), "finding_id")
+    so_far = Window.partitionBy("file_path").orderBy("line", F.col("finding_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    missed = marks.select("file_path", "line", "d", "finding_id").unionByName(asked).withColumn("missed", F.sum("d").over(so_far)).where("finding_id is not null")
+    return missed.join(records, "file_path").where(F.col("missed") < F.col("records")).select("finding_id")
 
 
 def contained(messages: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -257,7 +262,7 @@ def _source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     said = lines.where("l_discount >= 5e-2").select(((o * 8 + n) * 2).alias("pos"), "finding_id", rule(p % 8).alias("rule_id"), F.when(F.col("l_tax") < 0.06, text("h", F.col("f"))).otherwise("old").alias("source_hash"), outcome.alias("outcome"), ((p % 8 == 2) & (F.col("l_quantity") == 1)).alias("unsafe"), ((p % 20) / 20).alias("evidence_score"), ((F.col("l_extendedprice") > 50000) & ~(p % 8).isin(0, 1, 3)).alias("again"))
     feedback = said.drop("again").unionByName(said.where("again").drop("again").withColumn("pos", F.col("pos") + 1).withColumn("outcome", F.lit("duplicate")))
     key, kind = F.col("o_orderkey"), F.col("o_custkey") % 5
-    summary = F.when(kind == 1, text("runtime registration ", key % 25)).when((kind == 4) & (key % 50 == 0), "registration 1").when(kind == 4, text("note ", key)).otherwise("seen")
+    summary = F.when(kind == 1, text("runtime registration ", key % 2500)).when((kind == 4) & (key % 50 == 0), "registration 1").when(kind == 4, text("note ", key)).otherwise("seen")
     evidence = read("orders").select(text("e", key).alias("evidence_id"), F.when(kind < 2, GRAPH_PROVIDER).when(kind < 4, "coverage-lcov").otherwise("other").alias("provider_id"), F.when(kind == 0, SURFACE_KIND).otherwise("reference").alias("kind"), summary.alias("summary"), text("src/f", F.col("o_custkey") % 400).alias("file_path"), text("h", F.col("o_custkey") % 400).alias("source_hash"), (key % 5000).alias("start_off"), (key % 5000 + 200).alias("end_off"), F.when(kind.isin(2, 3), F.sequence((key % 50 + 1).cast("int"), (key % 50 + 250).cast("int"))).alias("missing_lines"), F.when(kind == 0, F.array(text("pkg.n", key % 12))).alias("surface_names"))
     rules = spark.createDataFrame(list(RULES), "rule_id string, risk string, confidence_cap string, maximum_action string")
     return {"findings": findings, "suppressions": suppressions, "feedback": feedback, "evidence": evidence, "rules": rules}
@@ -298,7 +303,7 @@ f1 as (select (l_orderkey * 8 + l_linenumber) * 2 as pos, finding_id, {_list(_RU
   case when l_partkey % 8 in (0, 1, 3) then case when l_tax = 8e-2 and l_quantity > 25 then 'intentional' else 'accepted' end when l_returnflag = 'A' then 'accepted' when l_returnflag = 'R' then 'intentional' else 'uncertain' end as outcome,
   l_partkey % 8 = 2 and l_quantity = 1 as unsafe, (l_partkey % 20) / 20 as evidence_score, l_extendedprice > 50000 and l_partkey % 8 not in (0, 1, 3) as again from li where l_discount >= 5e-2),
 fb as (select pos, finding_id, rule_id, source_hash, outcome, unsafe, evidence_score from f1 union all select pos + 1, finding_id, rule_id, source_hash, 'duplicate', unsafe, evidence_score from f1 where again),
-ev as (select concat('e', o_orderkey) as evidence_id, o_custkey % 5 as kind, case when o_custkey % 5 = 1 then concat('runtime registration ', o_orderkey % 25) when o_custkey % 5 = 4 and o_orderkey % 50 = 0 then 'registration 1' when o_custkey % 5 = 4 then concat('note ', o_orderkey) else 'seen' end as summary,
+ev as (select concat('e', o_orderkey) as evidence_id, o_custkey % 5 as kind, case when o_custkey % 5 = 1 then concat('runtime registration ', o_orderkey % 2500) when o_custkey % 5 = 4 and o_orderkey % 50 = 0 then 'registration 1' when o_custkey % 5 = 4 then concat('note ', o_orderkey) else 'seen' end as summary,
   concat('src/f', o_custkey % 400) as file_path, o_orderkey % 5000 as s, o_orderkey % 5000 + 200 as e, o_orderkey % 50 + 1 as miss_from, o_orderkey % 50 + 250 as miss_to, concat('n', o_orderkey % 12) as exported from orders)"""
 _HEALTH = f"""u as (select rule_id, evidence_score as s, outcome = 'accepted' as ok, outcome <> 'accepted' or unsafe as bad, unsafe from fb),
 cut as (select a.rule_id, a.s, count(*) as n, count(*) filter (where b.bad) as bad from (select distinct rule_id, s from u) a join (select rule_id, s, bad from u) b on a.rule_id = b.rule_id and b.s >= a.s group by a.rule_id, a.s),
