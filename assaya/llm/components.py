@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, shuffled, written
 
 #: Pointer-jumping steps in a round.
 _JUMPS = 3
@@ -25,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         parent = both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("p"))
         parent, parent_path = written(parent, "parents")
         for _ in range(_JUMPS):
-            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+            up = shuffled(parent.select(F.col("node").alias("p"), F.col("p").alias("pp")))
             jumped, jumped_path = written(parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p")), "parents")
-            settled = jumped.join(up.where("p <> pp"), "p", "left_semi").isEmpty()
+            settled = jumped.join(shuffled(up.where("p <> pp")), "p", "left_semi").isEmpty()
             remove(spark, parent_path)
             parent, parent_path = jumped, jumped_path
             if settled:
@@ -35,12 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             following = parent.select("node", F.col("p").alias("label"))
         else:
-            up = parent.select(F.col("node").alias("label"), "p")
+            up = shuffled(parent.select(F.col("node").alias("label"), "p"))
             known = labels.join(up, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
             following = known.unionByName(parent.select("node", F.col("p").alias("label")).join(known.select("node"), "node", "left_anti"))
         following, following_path = written(following, "labels")
         a, b = parent.select(F.col("node").alias("u"), F.col("p").alias("pu")), parent.select(F.col("node").alias("v"), F.col("p").alias("pv"))
-        rest = left.join(a, "u").join(b, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
+        rest = left.join(shuffled(a), "u").join(shuffled(b), "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
         rest, rest_path = written(rest, "edges")
         remove(spark, path, parent_path, *([labels_path] if labels_path else []))
         left, path, labels, labels_path = rest, rest_path, following, following_path

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, table, written
+from .common import remove, shuffled, table, written
 from .components import components
 from .shingles import mix, shingle_set, word_sequences
 
@@ -51,7 +51,8 @@ HOT, SPARE, MEET = 50, 16, 2
 BLOCK, LEAF = 256, 16
 #: Most ids sent to every executor to pick out their texts; beyond it they are joined by shuffle.
 BROADCAST_IDS = 500_000
-SALTS = 32
+#: A class of over CROWD documents is dealt out over SALTS rows of the joins by class; so at most one row in CROWD names such a class.
+SALTS, CROWD = 32, 1000
 #: Counters of shingle rarity (8 MB in all, whatever the input) and how many of them travel in a row.
 SLOTS, CHUNK = 1 << 20, 1 << 12
 
@@ -208,9 +209,9 @@ def _blocked(pairs: DataFrame, values: DataFrame, links) -> DataFrame:
     """The pairs (a, b) that ``links`` keeps. A hot b is dealt out over as many salts as it has blocks of partners."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
     queries = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("b", "salt")
-    queries = queries.join(values.select(F.col("doc_id").alias("b"), "value"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "value")
+    queries = queries.join(shuffled(values.select(F.col("doc_id").alias("b"), "value")), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "value")
     dealt = pairs.join(shares.where("shares > 1"), "b", "left").select("a", "b", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("shares"))).cast("int").alias("salt"))
-    members = dealt.join(values.select(F.col("doc_id").alias("a"), "value"), "a").select("b", "salt", "a", "value")
+    members = dealt.join(shuffled(values.select(F.col("doc_id").alias("a"), "value")), "a").select("b", "salt", "a", "value")
     rows = queries.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     return rows.mapInArrow(_in_blocks(links), "a long, b long")
 
@@ -280,7 +281,7 @@ def _trees(rows: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
     A key's documents are dealt into parts of about ``BLOCK``; a task has two parts at a time, and only what the tree keeps leaves it.
     """
     shares = F.ceil(F.col("n_docs") / BLOCK).cast("int")
-    dealt = rows.join(counts, "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), shares).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
+    dealt = rows.join(shuffled(counts), "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), shares).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") >= F.col("other")).alias("upper"), "doc_id", "label", "counts")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
 
@@ -290,7 +291,7 @@ def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int, c
 
     With ``counts`` (doc_id, counts), pairs at keys of more than ``HOT`` documents come from R-trees, which leave out those whose vectors exclude a link; ``meet`` has to be 1 then.
     """
-    rows = keyed.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    rows = keyed.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n_docs")).where("low <> high").select("key", "n_docs")
     rows, path = written(rows.join(mixed, "key"), "mixed")
     few = rows if counts is None else rows.where(F.col("n_docs") <= HOT)
@@ -366,6 +367,16 @@ def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].cast("long") == ids["_id"], "left_anti")
 
 
+def _dealt(rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, s1, s2) with the salt that they find their class by; rows without a doc_id find none."""
+    return rows.join(F.broadcast(crowds), ["s1", "s2"], "left").withColumn("salt", F.pmod("doc_id", F.when(F.col("crowd"), SALTS).otherwise(1)).cast("int")).drop("crowd")
+
+
+def _salted(classes: DataFrame) -> DataFrame:
+    """``classes`` (s1, s2, members) with a row for each salt that ``_dealt`` gives their documents."""
+    return shuffled(classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("members") > CROWD, SALTS - 1).otherwise(0)))).drop("members"))
+
+
 def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text): documents link when den * |a & b| >= num * |a | b|."""
     spark = docs.sparkSession
@@ -375,8 +386,8 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     lean, _ = written(base.drop("keys"), "signatures")
     able = base.where("n_shingles > 0 and doc_id is not null")
     classes, classes_path = written(able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    shared = classes.where("members > 1").select("s1", "s2", "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = able.select("doc_id", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(shared, ["s1", "s2", "salt"])
+    crowds, crowds_path = written(classes.where(F.col("members") > CROWD).select("s1", "s2", F.lit(True).alias("crowd")), "crowds")
+    copies = _dealt(able.select("doc_id", "s1", "s2"), crowds).join(_salted(classes.where("members > 1").select("s1", "s2", "rep", "members")), ["s1", "s2", "salt"])
     copies, copies_path = written(copies.where("rep <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "copies")
     n = F.col("n_shingles").cast("int").alias("n")
     keyed = _without(able.select("doc_id", n, "keys"), copies).select("doc_id", "n", F.explode("keys").alias("key"))
@@ -403,7 +414,7 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     labels = components(edges)
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        apart = apart.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+        apart = apart.join(shuffled(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))), end, "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     rest = verify(apart, sets, num, den)
     if not rest.isEmpty():
@@ -421,7 +432,7 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
         if not rest.isEmpty():
             edges = edges.unionByName(rest)
             labels = components(edges)
-    keyed = led.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    keyed = led.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     mixed = keyed.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     if not mixed.isEmpty():
@@ -434,11 +445,10 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
             labels = components(edges.unionByName(rest))
     remove(spark, met_path, led_path)
 
-    label = F.coalesce("label", "rep")
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").where("members > 1 or label is not null").select("s1", "s2", label.alias("component_id"))
-    named, _ = written(named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "named")
+    named = classes.join(shuffled(labels), classes["rep"] == labels["node"], "left").where("members > 1 or label is not null")
+    named, _ = written(named.select("s1", "s2", F.coalesce("label", "rep").alias("component_id"), "members"), "named")
     remove(spark, pairs_path, classes_path)
-    out = lean.select("doc_id", "n_shingles", "s1", "s2", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt")).join(named, ["s1", "s2", "salt"], "left")
+    out = _dealt(lean.select("doc_id", "n_shingles", "s1", "s2"), crowds).join(_salted(named), ["s1", "s2", "salt"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce(linked, F.col("doc_id")).alias("component_id"))
 

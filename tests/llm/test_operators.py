@@ -247,6 +247,14 @@ def test_jaccard_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard.cluster(docs_of(spark, rows)).collect()} == label
 
 
+def test_classes_are_not_broadcast_by_the_size_of_their_files(spark):
+    rows = [(k, " ".join(f"w{k % 1500 * 6 + x}" for x in range(6)), "s") for k in range(3000)] + [(k, "one text for all of these", "s") for k in range(3000, 4500)]
+    out = jaccard.cluster(docs_of(spark, rows))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {k: min(k % 1500, k) if k < 3000 else 3000 for k in range(4500)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1  # the few large classes alone
+
+
 @pytest.mark.parametrize("hot", [50, 3])
 def test_jaccard_loses_no_link_between_near_misses(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
