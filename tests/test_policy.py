@@ -103,3 +103,12 @@ def test_joins_against_all_pairs(spark):
     parts = ["".join(rng.choice("abc") for _ in range(rng.randrange(4))) for _ in range(30)]
     got = policy.contained(spark.createDataFrame([(t,) for t in texts], "message string"), spark.createDataFrame([(p,) for p in parts], "summary string"))
     assert sorted(map(tuple, got.collect())) == sorted((t, p) for t in set(texts) for p in set(parts) if p in t)
+
+
+def test_places_are_looked_up_once_for_all_their_findings(spark):
+    held = spark.createDataFrame([(1, "r", "a", None, None, None, "x"), (2, "r", None, None, "h", None, "y")], SUPPRESSION).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    rows = [finding(finding_id=str(k), rule_id="r", file_path="ab"[k % 2], source_hash="h" if k % 3 else None) for k in range(12)] + [finding(finding_id="none", rule_id=None)]
+    out = policy.active_suppressions(spark.createDataFrame(rows, FINDING), held, F.lit("2024-01-01").cast("timestamp"))
+    assert {r.finding_id: r.reason for r in out.collect()} == {str(k): "x" if k % 2 == 0 else "y" for k in range(12) if k % 2 == 0 or k % 3}
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1].split("LogicalRDD", 1)[0]
+    assert "Aggregate" in below  # the places are made distinct before they are multiplied
