@@ -105,6 +105,16 @@ def test_joins_against_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted((t, p) for t in set(texts) for p in set(parts) if p in t)
 
 
+def test_evidence_is_not_read_for_suppressed_findings(decide, monkeypatch):
+    asked, real = [], policy.counterevidence
+    monkeypatch.setattr(policy, "counterevidence", lambda findings, evidence: asked.extend(r.finding_id for r in findings.collect()) or real(findings, evidence))
+    said = [(f"e{k}", policy.GRAPH_PROVIDER, "reference", "registration 1", "input.ts", "hash", 0, 9, None, None) for k in range(3)]
+    got = decide([WRAPPER, finding(finding_id="b", anchor="function:b")], [(1, policy.WRAPPER_RULE, None, "function:b", None, None, "why")], evidence=said)
+    assert asked == ["w"]
+    assert (got["w"].counter_evidence, got["w"].counter_ids) == ([policy.REGISTERED + "registration 1"], ["e0", "e1", "e2"])
+    assert got["b"].suppressed and got["b"].counter_ids == []
+
+
 def test_places_are_looked_up_once_for_all_their_findings(spark):
     held = spark.createDataFrame([(1, "r", "a", None, None, None, "x"), (2, "r", None, None, "h", None, "y")], SUPPRESSION).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
     rows = [finding(finding_id=str(k), rule_id="r", file_path="ab"[k % 2], source_hash="h" if k % 3 else None) for k in range(12)] + [finding(finding_id="none", rule_id=None)]
