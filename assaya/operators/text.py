@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relational import TOKENS, WORDS
@@ -20,15 +20,36 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(_all(F.col("text"), TOKENS)).cast("long").alias("tokens"), F.size(_all(F.col("text"), WORDS)).cast("long").alias("words"))
 
 
+def _over_runs(items: Column, worth, zero: Column) -> Column:
+    """The sum of ``worth`` of the number of each distinct item of an array, which is sorted and read once within its row."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("n"), zero.alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = F.coalesce(acc["last"] == x, F.lit(False))
+        return F.struct(x.alias("last"), F.when(again, acc["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"), F.when(again, acc["sum"]).otherwise(acc["sum"] + worth(acc["n"])).alias("sum"))
+
+    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["sum"] + worth(acc["n"]))
+
+
+def _successive(items: Column, n: int) -> Column:
+    """Each ``n`` successive items of an array, with a blank between them, which no item holds."""
+    most = F.greatest(F.size(items) - (n - 1), F.lit(0))
+    out = F.slice(items, 1, most)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, k + 1, most), lambda a, b: F.concat_ws(" ", a, b))
+    return out
+
+
 def perplexity(docs: DataFrame) -> DataFrame:
-    """exp of the mean negative log probability of each token given the one before, with add-one smoothing over the text's own vocabulary."""
-    t = docs.select("doc_id", F.posexplode(_all(F.lower("text"), TOKENS)).alias("pos", "tok"))
-    size = t.groupBy("doc_id").agg(F.countDistinct("tok").alias("v"))
-    pairs = t.select("doc_id", "tok", F.lag("tok").over(Window.partitionBy("doc_id").orderBy("pos")).alias("prev")).where("prev is not null")
-    n = pairs.groupBy("doc_id", "prev", "tok").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("c", F.sum("n").over(Window.partitionBy("doc_id", "prev")))
-    out = n.join(size, "doc_id").groupBy("doc_id").agg(F.round(F.exp(-F.sum(F.col("n") * F.log((F.col("n") + 1) / (F.col("c") + F.col("v")))) / F.sum("n")), 6).alias("perplexity"))
-    return docs.select("doc_id").join(out, "doc_id", "left")
+    """exp of the mean negative log probability of each token given the one before, with add-one smoothing over the text's own vocabulary.
+
+    All within the row: the logs of n + 1 for each pair and of c + v for each first token are summed apart.
+    """
+    t = docs.select("doc_id", _all(F.lower("text"), TOKENS).alias("t"))
+    t = t.select("doc_id", F.size(F.array_distinct("t")).alias("v"), F.size("t").alias("size"), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("prev"), _successive(F.col("t"), 2).alias("pairs"))
+    zero, n = F.lit(0.0), F.col("size") - 1
+    both = _over_runs(F.col("prev"), lambda c: c * F.log(c + F.col("v")), zero) - _over_runs(F.col("pairs"), lambda k: k * F.log(k + 1), zero)
+    return t.select("doc_id", F.when(n > 0, F.round(F.exp(both / n), 6)).alias("perplexity"))
 
 
 def burstiness(docs: DataFrame) -> DataFrame:
@@ -40,11 +61,9 @@ def burstiness(docs: DataFrame) -> DataFrame:
 
 def trigrams(docs: DataFrame) -> DataFrame:
     """Word trigrams of each text, and those that occur more than once."""
-    w = docs.select("doc_id", F.posexplode(_all(F.lower("text"), WORDS)).alias("pos", "w"))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    g = w.select("doc_id", "w", F.lag("w", 1).over(by).alias("a"), F.lag("w", 2).over(by).alias("b")).where("b is not null").groupBy("doc_id", "b", "a", "w").agg(F.count(F.lit(1)).alias("n"))
-    g = g.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("r"))
-    return docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("trigrams"), F.coalesce("r", F.lit(0)).alias("repeated_trigrams"))
+    w = docs.select("doc_id", _successive(_all(F.lower("text"), WORDS), 3).alias("w"))
+    repeated = _over_runs(F.col("w"), lambda n: F.when(n > 1, n).otherwise(0).cast("long"), F.lit(0).cast("long"))
+    return w.select("doc_id", F.size("w").cast("long").alias("trigrams"), repeated.alias("repeated_trigrams"))
 
 
 def stylometry(docs: DataFrame) -> DataFrame:
