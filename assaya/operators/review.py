@@ -77,6 +77,13 @@ def sections(text: Column) -> Column:
     return F.filter(F.split(text, r"\r?\n(?:\s*\r?\n)+", -1), lambda s: s.rlike(r"\S"))
 
 
+def mean_rate(rates: Column) -> Column:
+    """The mean of an array of rates of six digits, to five digits, halves up: summed as integers, so that neither order nor binary fractions decide a half."""
+    total = F.aggregate(rates, F.lit(0).cast("long"), lambda x, y: x + F.round(y * 1000000).cast("long"))
+    n = F.size(rates)
+    return F.when(n == 0, 0.0).otherwise(F.floor((2 * total + 10 * n).cast("decimal(20,0)") / (20 * n).cast("decimal(20,0)")).cast("double") / 100000)
+
+
 def argument_dependency(texts: DataFrame) -> DataFrame:
     """doc_id, sections, dependency_rate (later sections that take up CARRIED of the words before) and mean_carryover; 0 for fewer than two.
 
@@ -87,8 +94,7 @@ def argument_dependency(texts: DataFrame) -> DataFrame:
     step = lambda acc, ws: F.struct(F.array_union(acc["held"], ws).alias("held"), F.array_append(acc["carried"], overlap(ws, acc["held"])).alias("carried"))
     carried = sets.select("doc_id", F.size("sets").cast("long").alias("sections"), F.aggregate("sets", start, step)["carried"].alias("c")).withColumn("c", F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))))
     n = F.size("c")
-    total = F.aggregate("c", F.lit(0.0), lambda x, y: x + y)
-    return carried.select("doc_id", "sections", _rate(F.size(F.filter("c", lambda x: x >= CARRIED)), n).alias("dependency_rate"), F.when(n == 0, 0.0).otherwise(F.round(total / n, 5)).alias("mean_carryover"))
+    return carried.select("doc_id", "sections", _rate(F.size(F.filter("c", lambda x: x >= CARRIED)), n).alias("dependency_rate"), mean_rate(F.col("c")).alias("mean_carryover"))
 
 
 def claim_density(texts: DataFrame) -> DataFrame:

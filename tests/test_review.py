@@ -102,3 +102,10 @@ def test_calibration(spark):
     schema = "pos int, source_hash string, committed_at string, logic double, boilerplate double"
     assert tuple(review.calibration(spark.createDataFrame(rows, schema)).first()) == (2, 0.375, 0.25, -0.25, 0.3)
     assert tuple(review.calibration(spark.createDataFrame([], schema)).first()) == (0, 0.0, 0.0, None, None)
+
+
+def test_a_mean_that_ends_in_a_half_does_not_hang_on_the_order(spark):
+    rates = [0.066667, 0.111111, 0.466667]
+    for k in range(3):
+        df = spark.createDataFrame([(rates[k:] + rates[:k],), ([],)], "c array<double>")
+        assert [r.m for r in df.select(review.mean_rate(F.col("c")).alias("m")).collect()] == [0.21482, 0.0]
