@@ -156,3 +156,13 @@ def test_canonical_json_and_hashes(spark):
     one = spark.createDataFrame(rows[:1], schema)
     ids = {r.name: r for r in digest.scan_id({"b": (one, ["id"]), "a": (one.where("false"), ["id"])}).collect()}
     assert sorted(ids) == ["a", "b", "scan"] and ids["scan"].n == 1 and ids["scan"].hash.startswith("scan:") and len(ids["scan"].hash) == 29
+
+
+def test_tables_are_summed_once_for_all_limits(spark, monkeypatch):
+    calls, real = [], ranking._sums
+    monkeypatch.setattr(ranking, "_sums", lambda rows, cuts: calls.append(1) or real(rows, cuts))
+    sized = spark.range(1, 41).select(F.col("id").cast("string").alias("finding_id"), F.col("id").alias("place"), F.lit(10).cast("long").alias("bytes"))
+    limits = [10_000, 9_000, 8_000]
+    got = ranking.fits(sized, sized, sized, sized.drop("place"), 5, 3, limits)
+    assert len(calls) == 4 and not any(x.reduced for x in got)
+    assert got == [ranking.fit(sized, sized, sized, sized.drop("place"), 5, 3, n) for n in limits]
