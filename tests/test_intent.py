@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from assaya.operators import intent
@@ -60,3 +62,39 @@ def test_paths_that_are_the_same(spark):
     frame = lambda *v: spark.createDataFrame([(p,) for p in v], "path string")
     got = intent.same_path(frame("a/b.py", "./c.py", "x\\y.py", "b.py", "q.py", None), frame("b.py", "src/c.py", "y.py", "aq.py", None))
     assert sorted(r.path for r in got.collect()) == ["./c.py", "a/b.py", "b.py", "x\\y.py"]
+
+
+def test_counts_without_pairs_equal_brute_force(spark):
+    """Turned and missing ranges, own evidence that overlaps or doesn't, and names that several records share."""
+    rng = random.Random(5)
+    offsets = lambda: (None, 3) if rng.random() < 0.1 else (a := rng.randrange(60), a + rng.randrange(-4, 12))
+    names = lambda k: rng.choice([None, [], [f"{k}{rng.randrange(4)}", f"{k}{rng.randrange(4)}"], [None, k]])
+    place = lambda: rng.choice([("a", "1"), ("a", "2"), ("b", "1"), (None, "1")])
+    evidence = [(f"e{k}", rng.choice(["scanner", intent.GRAPH_PROVIDER, None]), rng.choice(["coverage", "policy", "provenance", "type", "data-flow", None]), rng.choice(["registration", "an export", "runtime-only", "vendor", None]), *place(), *offsets(), names("c"), names("t"), names("s"), rng.choice([None, True, False]), rng.choice([None, True])) for k in range(120)]
+    findings = [("f%d" % k, "r", "m", None, *place(), *offsets(), "C1", "R1", "observe", [], [f"e{rng.randrange(130)}"], [f"e{rng.randrange(130)}", f"e{rng.randrange(130)}"], []) for k in range(80)]
+    f, e = spark.createDataFrame(findings, FINDING), spark.createDataFrame(evidence, EVIDENCE)
+    got = {r.finding_id: r for r in intent.contexts(f, e).collect()}
+    shown = {r.finding_id: r for r in intent.supporting(f, e).collect()}
+    by_id = {x[0]: x for x in evidence}
+    for x in findings:
+        own = {i for i in x[12] + x[13] if i in by_id}
+        near = {v[0] for v in evidence if None not in (*x[4:8], *v[4:8]) and v[4:6] == x[4:6] and v[7] >= x[6] and v[6] <= x[7]} - own
+        both, r = [by_id[i] for i in own | near], got[x[0]]
+        assert [r.callers, r.tests, r.specifications] == [len({n for v in both for n in v[k] or []}) for k in (8, 9, 10)]
+        assert r.providers == sorted({v[1] for v in both} - {None})
+        assert (r.coverage, r.analyzed, r.dynamic) == (sum(v[2] == "coverage" for v in both), sum(v[2] in intent.ANALYZER_KINDS for v in both), sum(v[3] == "runtime-only" or v[12] is True for v in both))
+        assert r.registrations == sum(v[1] == intent.GRAPH_PROVIDER and v[3] == "registration" for v in both)
+        origins = sorted(i for i in near if by_id[i][2] == "provenance")
+        assert r.origins == len(origins) and (not near or shown[x[0]].origin_ids == origins)
+        assert (r.flows, r.behaviours) == tuple(sum(by_id[i][2] in kinds for i in near) for kinds in (intent.FLOW_KINDS, intent.BEHAVIOUR_KINDS))
+
+
+def test_no_pair_of_a_finding_and_evidence_is_made(spark):
+    """200 findings over 200 records of one place: nothing of the plan makes as many rows as there are overlaps."""
+    f = spark.createDataFrame([(f"f{k}", *BASE[1:6], k, 900 + k, *BASE[8:13], None, []) for k in range(200)], FINDING)
+    e = spark.createDataFrame([(f"e{k}", *OWN[1:6], k, 900 + k, *OWN[8:]) for k in range(200)], EVIDENCE)
+    out = intent.assess(f, e, f.selectExpr("file_path path"), f.selectExpr("file_path path").limit(0), listed=False)
+    assert {h.n_support for r in out.collect() for h in r.hypotheses if h.kind == "suspicious-structure"} <= {0}
+    assert {h.n_against for r in out.collect() for h in r.hypotheses if h.kind == "suspicious-structure"} == {200}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin#" not in plan
