@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -158,6 +159,16 @@ def test_canonical_json_and_hashes(spark):
     assert sorted(ids) == ["a", "b", "scan"] and ids["scan"].n == 1 and ids["scan"].hash.startswith("scan:") and len(ids["scan"].hash) == 29
 
 
+@pytest.mark.parametrize("n", [3, 9, 10, 40])
+def test_tree_of_two_levels_is_that_of_the_sql(spark, n):
+    """Nodes of three: past nine rows the largest hash of the second level stands, as in the SQL past FAN * FAN rows."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    up = lambda level: [sha("".join(level[k : k + 3])) for k in range(0, len(level), 3)]
+    nodes = up([sha(f'{{"id":{k}}}') for k in range(n)])
+    got = digest.table_hash(spark.range(n), "id", fan=3, levels=2).first()
+    assert (got.n, got.hash) == (n, max(up(nodes)) if len(nodes) > 1 else nodes[0])
+
+
 def test_tables_are_summed_once_for_all_limits(spark, monkeypatch):
     calls, real = [], ranking._sums
     monkeypatch.setattr(ranking, "_sums", lambda rows, cuts: calls.append(1) or real(rows, cuts))
