@@ -105,6 +105,15 @@ def test_joins_against_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted((t, p) for t in set(texts) for p in set(parts) if p in t)
 
 
+def test_one_place_of_many_overlaps_is_many_tasks(spark, monkeypatch):
+    a = spark.createDataFrame([finding(finding_id=f"f{k}", start_off=k % 40, end_off=k % 40 + 300) for k in range(300)], FINDING)
+    b = spark.createDataFrame([(f"e{k}", "p", "k", "s", a.first().file_path, a.first().source_hash, k % 50, k % 50 + 400, None, None) for k in range(250)], EVIDENCE)
+    monkeypatch.setattr(policy, "MEETING", 20)
+    out = policy.overlapping(a, b)
+    assert out.distinct().count() == out.count() == 300 * 250
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300 * 250 / 2
+
+
 def test_evidence_is_not_read_for_suppressed_findings(decide, monkeypatch):
     asked, real = [], policy.counterevidence
     monkeypatch.setattr(policy, "counterevidence", lambda findings, evidence: asked.extend(r.finding_id for r in findings.collect()) or real(findings, evidence))
