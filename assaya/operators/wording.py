@@ -95,7 +95,7 @@ def nearest_declared(seen: DataFrame, declared: DataFrame, most: int = 2) -> Dat
     within two edits have a text in common that is left when at most two characters of each go, so these texts' hashes are
     the join's keys: a part that many names share, such as a scope, is no key. For other ``most`` and for names of over
     LONGEST_NAME characters the keys are ``most + 1`` pieces of the declared name, one of which is whole and moved by
-    ``most`` places at most. Candidates are verified exactly.
+    ``most`` places at most. Candidates are verified exactly. Names that are declared as they are need no candidates.
     """
     k = most + 1
     # Pieces of a name of n characters: piece p runs from n * p div k up to n * (p + 1) div k.
@@ -104,6 +104,10 @@ def nearest_declared(seen: DataFrame, declared: DataFrame, most: int = 2) -> Dat
       transform(filter(sequence(n * p div {k} - {most}, n * p div {k} + {most}), s -> s >= 0 and s + n * (p + 1) div {k} - n * p div {k} <= length(low)),
         s -> struct(n as n, p as p, substr(low, s + 1, n * (p + 1) div {k} - n * p div {k}) as piece))))))"""
 
+    lowered = lambda names, name: names.select(F.col("name").alias(name), F.lower("name").alias("low")).where(f"{name} is not null").distinct()
+    same = lowered(seen, "name").join(lowered(declared, "declared").groupBy("low").agg(F.min("declared").alias("declared")), "low").select("name", "declared", F.lit(0).cast("long").alias("distance"))
+    seen = seen.select("name").join(same.select("name"), "name", "left_anti")
+
     def keyed(names: DataFrame, keys: str, name: str, fit: str) -> DataFrame:
         low = names.select(F.col("name").alias(name), F.lower("name").alias("low")).where(f"{name} is not null and {fit}").distinct()
         return low.select(name, F.col("low").alias(f"{name}_low"), F.explode(F.array_distinct(F.expr(keys))).alias("key"))
@@ -117,7 +121,7 @@ def nearest_declared(seen: DataFrame, declared: DataFrame, most: int = 2) -> Dat
     else:
         found = near(probes, pieces, "true")
     best = found.groupBy("name").agg(F.min(F.struct("distance", "declared")).alias("best"))
-    return best.select("name", "best.declared", F.col("best.distance").cast("long").alias("distance"))
+    return same.unionByName(best.select("name", "best.declared", F.col("best.distance").cast("long").alias("distance")))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
