@@ -38,10 +38,14 @@ from .common import table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: About the bytes that each of two generations of remembered pieces may take in a worker.
 REMEMBER_BYTES = 64_000_000
+#: About the bytes that a worker keeps of them from one task to the next; workers stay while other stages run.
+KEEP_BYTES = 16_000_000
 #: Characters fed to a stream at a time; a stretch of as many without a safe cut is cut at pretokens.
 PIECE = 1 << 14
 #: Characters that have left the streams of a worker and are merged together.
 AT_ONCE = 1_000_000
+#: Marks that are cut from a word's end without a look at the pattern.
+MARKS = ".,;:!?"
 _NEVER = 1 << 60
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -89,13 +93,17 @@ class Merges:
 
     def _lookahead(self, pairs) -> int:
         best: dict[int, int] = {}  # left half -> longest chain that starts with such a merge
-        pieces: dict[int, frozenset] = {}  # id -> every id in its derivation
+        halves: dict[int, list[int]] = {}  # id -> the ids that it is merged from
         most = max(map(len, self.bytes_of.values()))
         for a, b, to in pairs:
-            both = pieces.get(a, frozenset((a,))) | pieces.get(b, frozenset((b,)))
-            chain = len(self.bytes_of[to]) + max((best.get(x, 0) for x in both), default=0)
+            within, todo = {a, b}, [a, b]  # every id in its derivation
+            while todo:
+                new = [x for x in halves.get(todo.pop(), ()) if x not in within]
+                within.update(new)
+                todo += new
+            chain = len(self.bytes_of[to]) + max(best.get(x, 0) for x in within)
             best[a] = max(best.get(a, 0), chain)
-            pieces[to] = pieces.get(to, frozenset()) | both | {to}
+            halves.setdefault(to, []).extend((a, b))
             most = max(most, chain)
         return most
 
@@ -240,7 +248,7 @@ def segments(text: str, special: dict[str, int]) -> list[str]:
 
 def _odd(piece: str) -> bool:
     """Whether a piece has to be cut with care: nothing, or space at its ends."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+    return not piece or piece.strip() != piece
 
 
 def _key(pretoken: str) -> str:
@@ -258,42 +266,69 @@ class Encoder:
         self.old: dict = {}
         self.bytes = 0
 
-    def _known(self, keys) -> list:
+    def _known(self, keys: set[str]) -> list[str]:
         """Bring what is remembered of ``keys`` into the young generation; the keys that are not known."""
-        if self.bytes > self.most:
-            self.young, self.old, self.bytes = {}, self.young, 0
-        young, old, new = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if (v := old.get(k, old)) is old:
-                    new.append(k)
-                else:
-                    young[k] = v
-                    self.bytes += 300 + 8 * len(k)
-        return new
+        new, old = keys.difference(self.young), self.old
+        if old:
+            found = [k for k in new if k in old]
+            self._learn(found, map(old.__getitem__, found))
+            new.difference_update(found)
+        return list(new)
 
     def _learn(self, keys: list, values) -> None:
         self.young.update(zip(keys, values, strict=True))
-        self.bytes += sum(300 + 8 * len(k) for k in keys)
+        self.bytes += 300 * len(keys) + 8 * sum(map(len, keys))
 
     def _packed(self, groups: list[list[str]]) -> list:
         """What the ids of each group of pretokens pack to."""
         keys = {_key(t): t for g in groups for t in g}
-        new = self._known(keys)
+        new = self._known(set(keys))
         self._learn(new, map(self.pack, self.many([keys[k] for k in new])))
         known = self.young
         return [known[_key(g[0])] if len(g) == 1 else self.join([known[_key(t)] for t in g]) for g in groups]
 
+    def rest(self, keep: int = KEEP_BYTES) -> None:
+        """A task is over: what is remembered goes if it is more than ``keep`` bytes."""
+        if self.old or self.bytes > keep:
+            self.young, self.old, self.bytes = {}, {}, 0
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Learn pieces that are not known: words at once, words with a mark behind them from the two, others by their pretokens."""
+        words, marked, rest, odd = [], [], [], []
+        for p in new:
+            if p.isalpha():
+                words.append(p)
+            elif _odd(p):
+                odd.append(p)
+            elif p[-1] in MARKS and p[:-1].isalpha():
+                marked.append(p)
+            else:
+                rest.append(p)
+        self._learn(odd, [None] * len(odd))
+        self._learn(words, map(self.pack, self.many([" " + w for w in words])))
+        cores = [p[:-1] for p in marked]
+        more = self._known(set(cores))
+        self._learn(more, map(self.pack, self.many([" " + w for w in more])))
+        known, join = self.young, self.join
+        marks = dict(zip(MARKS, self._packed([[m] for m in MARKS]), strict=True)) if marked else {}
+        self._learn(marked, [join([known[c], marks[p[-1]]]) for c, p in zip(cores, marked, strict=True)])
+        groups = [self.find(" " + p) for p in rest]
+        packed = self._packed(groups)
+        several = [k for k, g in enumerate(groups) if len(g) > 1]
+        self._learn([rest[k] for k in several], [packed[k] for k in several])
+
     def _pretokens(self, piece: str) -> list[str]:
         """The pretokens of a space and ``piece``; most pieces are a word, or one with a mark behind it."""
         if piece.isalpha():
             return [" " + piece]
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+        if piece[-1] in MARKS and piece[:-1].isalpha():
             return [" " + piece[:-1], piece[-1]]
         return self.find(" " + piece)
 
     def encode_all(self, texts: list[str]) -> list[list]:
         """What the ids of each text pack to, in a list; texts start and end at edges of pretokens."""
+        if self.bytes > self.most:  # a new generation; never within a call, so that all of its pieces are in the young one
+            self.young, self.old, self.bytes = {}, self.young, 0
         cut = [[] if "\0" in t else [s if s in self.special else self._split(s) for s in segments(t, self.special) if s] for t in texts]
         parts = [p for c in cut for p in c if not isinstance(p, str)]
         # A piece next to other space: the text must be cut with care. It is remembered as None.
@@ -301,17 +336,8 @@ class Encoder:
         plain = iter(self._packed([self.find(p) for p in firsts if not _odd(p)]))
         heads = iter([None if _odd(p) else next(plain) for p in firsts])
         new = self._known(set().union(*(p[1:] for p in parts)))
-        if odd := {p for p in new if _odd(p)}:
-            self._learn(list(odd), [None] * len(odd))
-            new = [p for p in new if p not in odd]
+        self._learn_pieces(new)
         known = self.young
-        groups = list(map(self._pretokens, new))
-        packed = self._packed(groups)
-        if known is not self.young:  # a new generation has begun
-            self.young = known | self.young
-            known = self.young
-        several = [k for k, g in enumerate(groups) if len(g) > 1]
-        self._learn([new[k] for k in several], [packed[k] for k in several])
         out: list[list] = []
         for text, c in zip(texts, cut, strict=True):
             got: list = []
@@ -513,7 +539,7 @@ class _Trip:
 
 def _round_trips(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, _ = _worker(path)
+        merges, encoder = _worker(path)
         for b in batches:
             rows, trip, at = [], None, -1
             for k, packed in transduce(((k, t.as_py() or "") for k, t in enumerate(b.column(1))), path):
@@ -524,6 +550,7 @@ def _round_trips(path: str) -> Callable:
             rows += [trip.row()] if trip else []
             n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.rest()
 
     return run
 

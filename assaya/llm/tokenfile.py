@@ -113,10 +113,13 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, byte_letters()
+        tokenize, letters = tokenizer.model.tokenize, "".join(byte_letters())
 
         def many(pretokens: list[str]) -> list[list[int]]:
-            return [[t.id for t in model.tokenize("".join([letters[b] for b in p.encode("utf-8", "replace")]))] for p in pretokens]
+            if not pretokens:
+                return []
+            data = b"\xff".join([p.encode("utf-8", "replace") for p in pretokens])  # a byte that UTF-8 never has
+            return [[t.id for t in tokenize(p)] for p in data.decode("latin-1").translate(letters).split("\xff")]
 
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         width = 2 if tokenizer.get_vocab_size() <= 65536 else 4

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import sys
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from assaya.llm import bpe
@@ -44,6 +46,51 @@ def test_remembered_bytes_are_bounded():
     assert len(encoder.young) + len(encoder.old) < 300
 
 
+def test_pieces_are_learned_together_in_any_generation():
+    """Words, words with a mark and others are learned in few calls, however little may be remembered."""
+    library, rng = Tokenizer.from_file(bpe.default_vocabulary()), random.Random(7)
+    calls = []
+    many = bpe.transducing(bpe.Merges.from_file(bpe.default_vocabulary()))
+    encoder = bpe.Encoder(lambda words: calls.append(len(words)) or many(words), {}, list, lambda x: sum(x, []), most=2_000)
+    words = ["tree", "Haus", "niño.", "niño", "a,", "'re", "x1", "don't", "été!", "tab\tbed", "%%%", "end..", "\x1ca", "b\x1c", "ﬁ", "²."]
+    for _ in range(60):
+        texts = [rng.choice([" ", "  ", ""]) + rng.choice([" ", " ", "  "]).join(rng.choice(words) + rng.choice(["", "q" * rng.randrange(9)]) for _ in range(rng.randrange(30))) for _ in range(8)]
+        calls.clear()
+        for text, found in zip(texts, encoder.encode_all(texts), strict=True):
+            assert sum(found, []) == library.encode(text, add_special_tokens=False).ids, text
+        assert len(calls) <= 5 + len(texts)
+
+
+def test_workers_keep_little_from_one_task_to_the_next(monkeypatch):
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    encoder = bpe._worker(bpe.default_vocabulary())[1]
+    for words, held in ((100, True), (60_000, False)):
+        list(bpe._round_trips(bpe.default_vocabulary())(iter([batch([" ".join(f"{words}w{k}" for k in range(words))])])))
+        assert bool(encoder.young) == held and encoder.bytes <= bpe.KEEP_BYTES
+
+
+def test_few_calls_for_a_new_word():
+    """Each new word took several Python functions of its own, the most part of the CPU time."""
+    from assaya.llm import tokenfile
+
+    encoder, _ = tokenfile.library_encoder(bpe.default_vocabulary())
+    text = " ".join("".join(chr(97 + int(c)) for c in str(10**6 + k)) + ["", ","][k % 2] for k in range(20_000))
+    encoder.encode_all(["a, b"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        encoder.encode_all([text])
+    finally:
+        sys.setprofile(None)
+    assert calls < 3 * 20_000
+
+
 def test_round_trips_of_random_texts(spark):
     library, rng = Tokenizer.from_file(bpe.default_vocabulary()), random.Random(6)
     texts = [None, "", *(random_text(rng) for _ in range(60)), "ab " * 30_000 + "c" * 30_000]
