@@ -61,6 +61,23 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bit for each of twice as many slots as shingles, or more (a power of two): whether an odd number of them falls there."""
+    size = 1 << max(9, (2 * len(shingles)).bit_length())
+    slots = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((slots & 1).astype(bool), bitorder="little").tobytes()
+
+
+def apart_bits(query: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many bits each row of ``others`` differs from ``query`` (words of 64 bits); the longer side is folded. Sets differ in as many members at least."""
+    while len(query) > others.shape[1]:
+        query = query[: len(query) // 2] ^ query[len(query) // 2 :]
+    while others.shape[1] > len(query):
+        half = others.shape[1] // 2
+        others = others[:, :half] ^ others[:, half:]
+    return np.bitwise_count(query ^ others).sum(1, dtype=np.int64)
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size."""
 
@@ -137,7 +154,7 @@ def _sets(width: int):
         size = 0
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([count_vector(x[1]).astype(np.uint32).tobytes() for x in held], pa.binary()), pa.array([x[1].tobytes() for x in held], pa.binary())], names=["doc_id", "counts", "members"])
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([count_vector(x[1]).astype(np.uint32).tobytes() for x in held], pa.binary()), pa.array([parity_bits(x[1]) for x in held], pa.binary()), pa.array([x[1].tobytes() for x in held], pa.binary())], names=["doc_id", "counts", "bits", "members"])
             held.clear()
             return out
 
@@ -238,7 +255,10 @@ def _sizes(a: str, b: str, num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Rows (key, lo, hi, upper, doc_id, label, counts) sorted by block. Yields the pairs (a, b) of different labels in a block, one of the lower and one of the upper part, whose count vectors reach the overlap a link needs."""
+    """Rows (key, lo, hi, upper, doc_id, label, counts, bits) sorted by block. Yields the pairs (a, b) of different labels in a block, one of the lower and one of the upper part, whose count vectors and parity bits reach the overlap a link needs.
+
+    The count vectors of unrelated long texts reach it as well, so the bits decide: sets that differ in d bits have at most (n_a + n_b - d) / 2 members in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -246,7 +266,13 @@ def _across(num: int, den: int):
         def close() -> pa.RecordBatch:
             ids, labels = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
             points = np.stack([np.frombuffer(h[3], np.uint32) for h in held]).astype(np.int64)
-            upper = np.array([h[0] for h in held])
+            upper, sizes = np.array([h[0] for h in held]), points.sum(1)
+            width = np.array([len(h[4]) for h in held])
+            alike = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+            bits = {w: np.stack([np.frombuffer(held[k][4], np.uint64) for k in at]) for w, at in alike.items()}
+            place = np.zeros(len(held), np.int64)  # of a document among those with as many bits
+            for at in alike.values():
+                place[at] = np.arange(len(at))
             within = block[1] == block[2]
             asked, stored = (np.arange(len(held)),) * 2 if within else (np.flatnonzero(upper), np.flatnonzero(~upper))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -257,18 +283,24 @@ def _across(num: int, den: int):
                     found = stored[tree.search(points[q], lambda size: num * (n + size) / (num + den) - 1e-6)]  # noqa: B023
                     found = found[labels[found] != labels[q]]
                     found = found[ids[found] < ids[q]] if within else found
+                    differ = np.zeros(len(found), np.int64)
+                    for w in set(width[found].tolist()):
+                        own = width[found] == w
+                        differ[own] = apart_bits(bits[width[q]][place[q]], bits[w][place[found[own]]])
+                    both = n + sizes[found]
+                    found = found[(both - differ) * (num + den) >= 2 * num * both]
                     left.append(np.full(len(found), ids[q]))
                     right.append(ids[found])
             a, b = np.concatenate(left), np.concatenate(right)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for x in batches:
-            for *at, up, i, label, counts in zip(*(x.column(k).to_pylist() for k in range(7)), strict=True):
+            for *at, up, i, label, counts, bits in zip(*(x.column(k).to_pylist() for k in range(8)), strict=True):
                 if at != block:
                     if held:
                         yield close()
                     block, held = at, []
-                held.append((up, i, label, counts))
+                held.append((up, i, label, counts, bits))
         if held:
             yield close()
 
@@ -276,20 +308,20 @@ def _across(num: int, den: int):
 
 
 def _trees(rows: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``rows`` (key, doc_id, label, n_docs) that an R-tree over each key's count vectors keeps.
+    """The pairs (a, b) of ``rows`` (key, doc_id, label, n_docs) that an R-tree over each key's count vectors, and then their parity bits, keep.
 
     A key's documents are dealt into parts of about ``BLOCK``; a task has two parts at a time, and only what the tree keeps leaves it.
     """
     shares = F.ceil(F.col("n_docs") / BLOCK).cast("int")
     dealt = rows.join(shuffled(counts), "doc_id").withColumn("mine", F.pmod(F.xxhash64("doc_id"), shares).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") >= F.col("other")).alias("upper"), "doc_id", "label", "counts")
+    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") >= F.col("other")).alias("upper"), "doc_id", "label", "counts", "bits")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(num, den), "a long, b long")
 
 
 def _apart(keyed: DataFrame, labels: DataFrame, meet: int, num: int, den: int, counts: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of ``keyed`` (doc_id, n, key) in different components that meet at ``meet`` keys and whose sizes can link.
 
-    With ``counts`` (doc_id, counts), pairs at keys of more than ``HOT`` documents come from R-trees, which leave out those whose vectors exclude a link; ``meet`` has to be 1 then.
+    With ``counts`` (doc_id, counts, bits), pairs at keys of more than ``HOT`` documents come from R-trees, which leave out those whose vectors exclude a link; ``meet`` has to be 1 then.
     """
     rows = keyed.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n_docs")).where("low <> high").select("key", "n_docs")
@@ -357,7 +389,7 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, width: int) -> tuple[DataFrame,
     ids, ids_path = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("_id")), "pair-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["_id"], "left_semi")
-    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, members binary"), "sets")
+    sets, sets_path = written(wanted.mapInArrow(_sets(width), "doc_id long, counts binary, bits binary, members binary"), "sets")
     return sets, [ids_path, sets_path]
 
 
@@ -438,7 +470,7 @@ def cluster(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> D
     if not mixed.isEmpty():
         sets, used = _sets_of(rows, mixed, width)
         rarest, rarest_path = written(_rarest(sets, num, den, loads), "rarest")
-        apart = _apart(rarest, labels, 1, num, den, sets.select("doc_id", "counts")).join(tried, ["a", "b"], "left_anti")
+        apart = _apart(rarest, labels, 1, num, den, sets.select("doc_id", "counts", "bits")).join(tried, ["a", "b"], "left_anti")
         rest = verify(apart, sets, num, den)
         remove(spark, rarest_path, *used)
         if not rest.isEmpty():

@@ -4,12 +4,14 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from assaya.llm import bpe, components, decontam, html, jaccard, passages, quality, registry, tokenfile, toxicity, urlfilter, warc
+from assaya.llm import bpe, common, components, decontam, html, jaccard, passages, quality, registry, tokenfile, toxicity, urlfilter, warc
 from assaya.llm.common import scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, n_words int"
@@ -227,6 +229,41 @@ def test_count_tree_bounds():
         assert got == {k for k, p in enumerate(points) if np.minimum(p, q).sum() >= 0.45 * (p.sum() + q.sum())}
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(1)
+    of = lambda x: np.frombuffer(jaccard.parity_bits(x), np.uint64)
+    for n, m in ((1, 1), (200, 250), (255, 257), (1000, 1250), (1500, 700), (0, 3)):
+        a, b = (np.unique(rng.integers(0, 1 << 63, k, np.uint64)) for k in (n, m))
+        b[: m // 2] = a[: m // 2] if m // 2 <= n else b[: m // 2]
+        differ = jaccard.apart_bits(of(a), of(b)[None])[0]
+        assert differ == jaccard.apart_bits(of(b), of(a)[None])[0] <= len(np.setxor1d(a, b))
+
+
+def test_trees_let_few_pairs_of_long_unrelated_texts_through():
+    """Over 64 groups all sets of 2,000 shingles look alike, so that every pair of a key went on to the verification."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 1600 + 20 * k, np.uint64)) for k in range(60)]
+    for k in range(30, 60, 3):  # near copies of an earlier one, some with more or fewer members
+        sets[k] = np.unique(np.concatenate([sets[k - 30][rng.integers(0, 20) * (k % 2) :], rng.integers(0, 1 << 63, 3 * k, np.uint64)]))
+    rows = [(7, 0, 0, True, k, k, jaccard.count_vector(x).astype(np.uint32).tobytes(), jaccard.parity_bits(x)) for k, x in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "lo", "hi", "upper", "doc_id", "label", "counts", "bits"])
+    got = {(a, b) for x in jaccard._across(80, 100)(iter([batch])) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    links = {(a, b) for a in range(60) for b in range(a) if jaccard.similar(sets[a], sets[b], 80, 100)}
+    assert len(links) >= 8 and links <= got and len(got) <= 2 * len(links)
+
+
+def test_shuffles_go_when_their_table_is_written(spark):
+    """They stayed until the driver collected its garbage, so that the shuffles of all steps lay on the disks together."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {str(f) for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = held()
+    kept, _ = common.written(spark.range(50_000).repartition(7, "id").groupBy("id").count(), "shuffles")
+    end = time.time() + 10
+    while held() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not held() - before and kept.count() == 50_000
+
+
 def test_jaccard_of_near_copies(spark):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(400)]
