@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -39,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import in_slices
+from .bpe import byte_letters, in_slices
 from .common import table, written
 
 CAPACITY, END_ID = 2048, 0
 #: About the bytes that remembered words may take in a worker, and the longest word that is remembered.
-REMEMBER_BYTES, LONGEST = 120_000_000, 200
-#: Words encoded together; marks that are cut from a word's end.
-TOGETHER, MARKS = 20, ".,;:!?"
+REMEMBER_BYTES, LONGEST = 240_000_000, 200
+#: Marks that are cut from a word's end.
+MARKS = ".,;:!?"
 
 
 def default_vocabulary() -> str:
@@ -68,26 +69,28 @@ class Words:
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"].encode().lower() for t in json.load(f)["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(self.tokenizer.get_vocab_size())])
+        self.tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        letters = byte_letters()
+        letters[32] = " "  # what words are joined by
+        self.letters = "".join(letters)
+        self.pack = lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
         self.marks = dict(zip(MARKS, self._library(list(MARKS)), strict=True)) | {"": b""}
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of Latin letters. Each ends in a token with a word's end, so they are encoded some at a time and cut there."""
+        """Ids of words of Latin letters: each is one pretoken, in lower case and in the letters that stand for its bytes."""
+        if not words:
+            return []
         out: list[bytes] = []
-        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(ends) == len(group):
-                data = ids.tobytes()
-                out += [data[a:b] for a, b in zip([0, *ends], ends)]
-            else:  # a letter that is lower-cased to more than letters
-                out += self._library(group)
+        low = " ".join(words).lower().split(" ")
+        data = " ".join(low).encode().decode("latin-1").translate(self.letters).split(" ")
+        for w, s in zip(low, data, strict=True):
+            # A letter that is lower-cased to more than letters makes more than one pretoken.
+            out.append(self.pack([t.id for t in self.tokenize(s)]) if w.isalpha() else self._library([w])[0])
         return out
 
     def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:

@@ -83,6 +83,18 @@ def odd_texts():
     return ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", "x" * 3000, "one two " * 700, "n" * 150 + " m" * 60]
 
 
+def test_latin_words_go_straight_to_the_model():
+    """Whole calls of the library for each few words were the most part of the CPU time."""
+    words = packing.Words(packing.default_vocabulary())
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    each = [w for c in letters for w in (c, f"x{c}", f"{c}B{c}", f"{c}y.")]
+    want = [np.array(e.ids, words.dtype).tobytes() for e in words.tokenizer.encode_batch(each, add_special_tokens=False)]
+    assert words.encode_all([w.encode() for w in each]) == want
+    plain, words.tokenizer = [w.encode() for w in each if "\u0130" not in w], None
+    words.known = {}
+    assert words.encode_all(plain) == [x for w, x in zip(each, want, strict=True) if "\u0130" not in w]
+
+
 def test_pieces_are_the_library_s_ids(spark):
     from tokenizers import Tokenizer
 
