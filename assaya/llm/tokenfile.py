@@ -35,6 +35,8 @@ from .bpe import Encoder, byte_letters, default_vocabulary, in_slices
 from .common import parts, scratch, table, written
 
 END_ID = 2
+#: About the bytes that each of two generations of remembered pieces may take in a worker (estimated at twice what they take).
+REMEMBER_BYTES = 200_000_000
 #: Fixed values of the zstandard seekable format.
 _SEEK_MAGIC, _FOOTER_MAGIC, _INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 _LEVEL = 3
@@ -124,7 +126,7 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         width = 2 if tokenizer.get_vocab_size() <= 65536 else 4
         code = "H" if width == 2 else "I"
-        _LOADED[path] = Encoder(many, special, lambda ids: struct.pack(f"<{len(ids)}{code}", *ids), b"".join), width
+        _LOADED[path] = Encoder(many, special, lambda ids: struct.pack(f"<{len(ids)}{code}", *ids), b"".join, REMEMBER_BYTES), width
     return _LOADED[path]
 
 
