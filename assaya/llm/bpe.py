@@ -25,6 +25,7 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ PIECE = 1 << 14
 #: Characters that have left the streams of a worker and are merged together.
 AT_ONCE = 1_000_000
 #: Marks that are cut from a word's end without a look at the pattern.
-MARKS = ".,;:!?"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NEVER = 1 << 60
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -251,6 +252,11 @@ def _odd(piece: str) -> bool:
     return not piece or piece.strip() != piece
 
 
+def _careful(piece: str) -> bool:
+    """The same of a piece that may have the end of a line before it in place of a space."""
+    return _odd(piece[1:] if piece[:1] == "\n" else piece)
+
+
 def _key(pretoken: str) -> str:
     """A pretoken as a key: a word after a space is remembered as the piece that it is, others apart from all pieces, none of which has a NUL."""
     return pretoken[1:] if pretoken[0] == " " and not _odd(pretoken[1:]) and pretoken[1] != "\0" else "\0" + pretoken
@@ -293,26 +299,28 @@ class Encoder:
             self.young, self.old, self.bytes = {}, {}, 0
 
     def _learn_pieces(self, new: list[str]) -> None:
-        """Learn pieces that are not known: words at once, words with a mark behind them from the two, others by their pretokens."""
-        words, marked, rest, odd = [], [], [], []
+        """Learn pieces that are not known: words at once, words with marks behind them from the two, others by their pretokens."""
+        words, marked, rest, groups = [], [], [], []
         for p in new:
             if p.isalpha():
                 words.append(p)
-            elif _odd(p):
-                odd.append(p)
-            elif p[-1] in MARKS and p[:-1].isalpha():
-                marked.append(p)
-            else:
+            elif (core := p.rstrip(MARKS)).isalpha():
+                marked.append((p, core, p[len(core) :]))
+            elif not _careful(p):
                 rest.append(p)
-        self._learn(odd, [None] * len(odd))
+                if p[0] != "\n":
+                    groups.append(self.find(" " + p))
+                elif (core := p[1:].rstrip(MARKS)).isalpha():
+                    groups.append(["\n", core, p[len(core) + 1 :]] if len(core) + 1 < len(p) else ["\n", core])
+                else:
+                    groups.append(["\n", *self.find(p[1:])])
+        more = self._known({c for _, c, _ in marked}.difference(words))
         self._learn(words, map(self.pack, self.many([" " + w for w in words])))
-        cores = [p[:-1] for p in marked]
-        more = self._known(set(cores))
         self._learn(more, map(self.pack, self.many([" " + w for w in more])))
         known, join = self.young, self.join
-        marks = dict(zip(MARKS, self._packed([[m] for m in MARKS]), strict=True)) if marked else {}
-        self._learn(marked, [join([known[c], marks[p[-1]]]) for c, p in zip(cores, marked, strict=True)])
-        groups = [self.find(" " + p) for p in rest]
+        tails = list({t for _, _, t in marked})
+        marks = dict(zip(tails, self._packed([[t] for t in tails]), strict=True))
+        self._learn([p for p, _, _ in marked], [join([known[c], marks[t]]) for _, c, t in marked])
         packed = self._packed(groups)
         several = [k for k, g in enumerate(groups) if len(g) > 1]
         self._learn([rest[k] for k in several], [packed[k] for k in several])
@@ -321,8 +329,8 @@ class Encoder:
         """The pretokens of a space and ``piece``; most pieces are a word, or one with a mark behind it."""
         if piece.isalpha():
             return [" " + piece]
-        if piece[-1] in MARKS and piece[:-1].isalpha():
-            return [" " + piece[:-1], piece[-1]]
+        if (core := piece.rstrip(MARKS)).isalpha():
+            return [" " + core, piece[len(core) :]]
         return self.find(" " + piece)
 
     def encode_all(self, texts: list[str]) -> list[list]:
@@ -331,14 +339,19 @@ class Encoder:
             self.young, self.old, self.bytes = {}, self.young, 0
         cut = [[] if "\0" in t else [s if s in self.special else self._split(s) for s in segments(t, self.special) if s] for t in texts]
         parts = [p for c in cut for p in c if not isinstance(p, str)]
-        # A piece next to other space: the text must be cut with care. It is remembered as None.
+        # A piece next to other space is never remembered: the text must be cut with care.
         firsts = [p[0] for p in parts if p[0] is not None]
         plain = iter(self._packed([self.find(p) for p in firsts if not _odd(p)]))
         heads = iter([None if _odd(p) else next(plain) for p in firsts])
-        new = self._known(set().union(*(p[1:] for p in parts)))
-        self._learn_pieces(new)
+        pieces = list(chain.from_iterable(p[1:] for p in parts))
+        values = list(map(self.young.get, pieces))
+        missing = [k for k, v in enumerate(values) if v is None]
+        self._learn_pieces(self._known({pieces[k] for k in missing}))
         known = self.young
+        for k in missing:
+            values[k] = known.get(pieces[k])
         out: list[list] = []
+        at = 0
         for text, c in zip(texts, cut, strict=True):
             got: list = []
             for p in c:
@@ -347,12 +360,23 @@ class Encoder:
                 else:
                     if p[0] is not None:
                         got.append(next(heads))
-                    got += map(known.__getitem__, p[1:])
+                    got += values[at : at + len(p) - 1]
+                    at += len(p) - 1
             out.append(self._with_care(text) if None in got or "\0" in text else got)
         return out
 
     def _split(self, text: str) -> list:
-        """``text`` cut at spaces; the first piece is None if a space and another character come first."""
+        """``text`` cut at spaces and before ends of lines; the first piece is None if a space and another character come first.
+
+        A piece that starts with the end of a line has no space before it. Where a space or nothing stands beside one, the text must be
+        cut with care, and where lines are empty it is cut at spaces only.
+        """
+        if "\n" in text and "\n\n" not in text and text[0] != "\n":
+            if text[-1] == "\n" or " \n" in text or "\n " in text:
+                return [None, ""]
+            text = text.replace("\n", " \n")
+        elif " \n" in text:
+            return [None, ""]
         pieces: list = text.split(" ")
         if not pieces[0] and len(pieces) > 1 and not _odd(pieces[1]):
             pieces[0] = None

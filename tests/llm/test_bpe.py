@@ -2,6 +2,7 @@ import hashlib
 import random
 import sys
 
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
@@ -91,6 +92,29 @@ def test_few_calls_for_a_new_word():
     assert calls < 3 * 20_000
 
 
+def test_words_at_ends_of_lines_need_no_pattern():
+    """A word, marks, the end of a line and the next word were one piece, which the pattern had to cut; words went to the library one by one."""
+    from assaya.llm import tokenfile
+
+    library, rng = Tokenizer.from_file(bpe.default_vocabulary()), random.Random(8)
+    encoder, _ = tokenfile.library_encoder(bpe.default_vocabulary())
+    ids = lambda found: np.frombuffer(b"".join(found), "<u2").tolist()
+    parts = ["\n", " ", ".\n", "***", "é", "\n\n", " \n", "\n ", "x", "Été", "'s", "' ", "\r\n", "\t", "12", "ÿ", "<|endoftext|>", "\0", "\u2028", "word "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    for text, found in zip(texts, encoder.encode_all(texts), strict=True):
+        assert ids(found) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    calls, find, many = [], encoder.find, encoder.many
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(10**6 + k))
+    text = " ".join(f"{word(2 * k)}.\n{word(2 * k + 1)}***" for k in range(500))
+    try:
+        encoder.find = lambda t: calls.append(t) or find(t)
+        assert ids(encoder.encode_all([text])[0]) == library.encode(text, add_special_tokens=False).ids
+    finally:
+        encoder.find = find
+    assert len(calls) == 1  # the first piece
+    assert all(isinstance(x, bytes) for x in many([" tree", "\n", "ÿ"])) and b"".join(many([" tree", "\n", "ÿ"])) == np.array(library.encode(" tree\nÿ").ids, "<u2").tobytes()
+
+
 def test_round_trips_of_random_texts(spark):
     library, rng = Tokenizer.from_file(bpe.default_vocabulary()), random.Random(6)
     texts = [None, "", *(random_text(rng) for _ in range(60)), "ab " * 30_000 + "c" * 30_000]
