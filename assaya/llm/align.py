@@ -28,6 +28,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, in_slices
+from .bpe import MARKS, byte_letters, in_slices
 from .common import table, written
+from .tokenfile import library_encoder
 
 #: Tokens in a row of events, and link rows that a document's machine holds back.
 EVENTS, LINKS_AT_ONCE = 8192, 100_000
 #: Pairs that are broadcast (17 bytes each); about the bytes of remembered units in a worker; the longest unit that is remembered.
-BROADCAST_PAIRS, REMEMBER_BYTES, LONGEST = 2_000_000, 100_000_000, 100
+BROADCAST_PAIRS, REMEMBER_BYTES, LONGEST = 2_000_000, 130_000_000, 100
 #: Pairs that a task counts before it passes them on.
 COUNT_AT_ONCE = 2_000_000
 _UNIT = re.compile(r" +[^ ]*(?:(?<![!-~\w]) +[^ ]*)*")
@@ -88,36 +90,92 @@ class Encoders:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = bytes_of_a(a_path), bytes_of_b(self.b)
+        self.words, _ = library_encoder(a_path)  # for its pretokens only; it remembers nothing here
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.size = 0
 
     def _b_ids(self, units: list[str]) -> list[list[int]]:
         """Ids of units, whose first space is the one that the library puts before a text; of spaces alone those after a letter."""
-        found = self.b.encode([u[1:] if u.strip(" ") else "a" + u for u in units], num_threads=1)
-        return [ids if u.strip(" ") else ids[1:] for u, ids in zip(units, found, strict=True)]
+        texts = [u[1:] for u in units]
+        blank = [k for k, u in enumerate(units) if not u.strip(" ")]
+        for k in blank:
+            texts[k] = "a" + units[k]
+        found = self.b.encode(texts, num_threads=1)
+        for k in blank:
+            found[k] = found[k][1:]
+        return found
+
+    def _a_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units: words, and marks behind them, are pretokens that go to the library's model together; others are cut by the pattern."""
+        groups: list[str | list[str]] = []
+        whole = []
+        for k, u in enumerate(units):
+            w = u[1:]
+            if w.isalpha():
+                groups.append(u)
+            elif (core := w.rstrip(MARKS)).isalpha():
+                groups.append([" " + core, w[len(core) :]])
+            elif any(s in u for s in self.words.special):  # they are text here
+                whole.append(k)
+                groups.append([])
+            else:
+                groups.append(self.words.find(u))
+        each = list({g for g in groups if isinstance(g, str)}.union(*(g for g in groups if not isinstance(g, str))))
+        known = dict(zip(each, map(self.words.pack, self.words.many(each)), strict=True))
+        out = [known[g] if isinstance(g, str) else b"".join([known[p] for p in g]) for g in groups]
+        for k, e in zip(whole, self.a.encode_batch([units[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u2").tobytes()
+        return out
 
     def _both(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The ids of each unit under both, or None if either does not give its bytes back."""
-        out: list[tuple[bytes, bytes] | None] = []
-        for u, e, b in zip(units, self.a.encode_batch(units, add_special_tokens=False), self._b_ids(units), strict=True):
-            data, a = u.encode(), e.ids
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            out.append((np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None)
+        if not units:
+            return []
+        data, a_ids, b_ids = [u.encode() for u in units], self._a_ids(units), self._b_ids(units)
+        flat = np.fromiter(chain.from_iterable(b_ids), "<u2")
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, b_ids), np.int64, len(b_ids)))])
+        raw, at = flat.tobytes(), (2 * edges).tolist()
+        out: list[tuple[bytes, bytes] | None] = list(zip(a_ids, [raw[i:j] for i, j in zip(at, at[1:])], strict=True))
+        for side, found in ((self.a_bytes, b"".join(a_ids)), (self.b_bytes, raw)):
+            lengths = np.array([len(x) for x in side])
+            ids = np.frombuffer(found, "<u2")
+            ends = np.cumsum(np.fromiter(map(len, a_ids), np.int64, len(a_ids))) // 2 if side is self.a_bytes else edges[1:]
+            sizes = np.diff(np.concatenate([[0], np.cumsum(lengths[ids])])[ends], prepend=0)
+            # Of equal sizes one by one and equal bytes together, each gives its own back.
+            if sizes.tolist() == list(map(len, data)) and b"".join(map(side.__getitem__, ids.tolist())) == b"".join(data):
+                continue
+            for k, x in enumerate(data):
+                one = ids[ends[k - 1] if k else 0 : ends[k]].tolist()
+                if b"".join(map(side.__getitem__, one)) != x:
+                    out[k] = None
         return out
 
+    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """The same of a text with the space before it, by the libraries alone."""
+        data, a, b = text.encode(), self.a.encode(text, add_special_tokens=False).ids, self._b_ids([text])[0]
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
+        return (np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None
+
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The ids of a space and each text under both (16 bits each), or None."""
         cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
         if self.size > REMEMBER_BYTES:
             self.known, self.size = {}, 0
-        known, new = self.known, list(set().union(*cut).difference(self.known))
+        known, units = self.known, list(chain.from_iterable(cut))
+        values = list(map(known.get, units))  # None: not known, or not given back
+        missing = [k for k, v in enumerate(values) if v is None]
+        new = list({units[k] for k in missing}.difference(known))
         known.update(zip(new, self._both(new), strict=True))
         self.size += 350 * len(new)
+        for k in missing:
+            values[k] = known[units[k]]
         out: list[tuple[bytes, bytes] | None] = []
-        for t, units in zip(texts, cut, strict=True):
-            found = list(map(known.__getitem__, units))
+        at = 0
+        for t, c in zip(texts, cut, strict=True):
+            found = values[at : at + len(c)]
+            at += len(c)
             if None in found:  # the bytes of the whole text decide, not those of a unit
-                out.append(self._both([" " + t])[0])
+                out.append(self._whole(" " + t))
             else:
                 out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])) if found else None)
         for u in new:

@@ -77,3 +77,15 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     want = plain(["one two"] * 3)[0]
     assert got == [(0, *want), (1, *want), (1, *want), (2, 0, 0, 0, 0, 0, 0, "")]
     assert align.align(df.where("false")).collect() == []
+
+
+def test_words_go_to_the_model_together(monkeypatch):
+    """Each new unit went through the whole library and had its bytes compared by itself."""
+    e = align.Encoders(*align.default_vocabularies())
+    texts = ["tree. Haus, niño*** été été  x1 don't  ", "a<|endoftext|>b <s> \n12", "x" * 300, "the\nend.\nEnd ▁ it", "日本 語。 😀 ÿ ", "   "]
+    want = [e._whole(" " + t) for t in texts]
+    assert want[3] is None and want[0]
+    calls, plain = [], e.a
+    e.a = type("Counted", (), {"encode_batch": lambda self, units, **k: calls.extend(units) or plain.encode_batch(units, **k), "encode": lambda self, *x, **k: plain.encode(*x, **k)})()
+    assert e.encode_all(texts) == want == e.encode_all(texts)
+    assert calls == [" a<|endoftext|>b"]
