@@ -169,6 +169,19 @@ def test_tree_of_two_levels_is_that_of_the_sql(spark, n):
     assert (got.n, got.hash) == (n, max(up(nodes)) if len(nodes) > 1 else nodes[0])
 
 
+def test_scan_hash_goes_to_one_root(spark, monkeypatch):
+    """With nodes of 16, the 6,000 findings take four levels: a change of one line item shows in the query, whose SQL has no limit of levels either."""
+    real = digest.scan_id
+    monkeypatch.setattr(digest, "scan_id", lambda tables, **more: real(tables, fan=16, **more))
+    source, keys, found = digest._source(spark, "/root/testdata/sf0.001"), (0, 1500, 3000, 4500, 5900), set()
+    ids = [r[0] for r in source["findings"].select("finding_id").orderBy("finding_id").collect()]
+    for k in keys:
+        changed = source["findings"].withColumn("line", F.when(F.col("finding_id") == ids[k], 0).otherwise(F.col("line")))
+        monkeypatch.setattr(digest, "_source", lambda *_, c=changed: {**source, "findings": c})
+        found.add(digest.scan_hash(spark, "").where("name = 'findings'").first().hash)
+    assert len(found) == len(keys) and "max(h)" not in digest.ORACLE_SQL["scan_hash"]
+
+
 def test_tables_are_summed_once_for_all_limits(spark, monkeypatch):
     calls, real = [], ranking._sums
     monkeypatch.setattr(ranking, "_sums", lambda rows, cuts: calls.append(1) or real(rows, cuts))
