@@ -124,6 +124,26 @@ def test_evidence_is_not_read_for_suppressed_findings(decide, monkeypatch):
     assert got["b"].suppressed and got["b"].counter_ids == []
 
 
+def test_records_behind_messages_are_not_dealt_out(spark, monkeypatch):
+    """Findings and records of one place over several tasks: each row is made whole where it leaves, as from all pairs."""
+    monkeypatch.setattr(policy, "TASK_PAIRS", 300)
+    monkeypatch.setattr(policy, "HELD_BYTES", 500)
+    rng = random.Random(8)
+    evidence = [(f"e{k}", policy.GRAPH_PROVIDER, "reference", f"registration {rng.randrange(12)}", "input.ts", "hash", u := rng.randrange(90), u + rng.randrange(-3, 30), None, None) for k in range(50)]
+    findings = [finding(finding_id=f"f{k}", start_off=(s := rng.randrange(100)), end_off=s + rng.randrange(-3, 9), counter_ids=rng.choice([None, [], ["e7", "own"]])) for k in range(40)]
+    frame = spark.createDataFrame
+    held = frame([], SUPPRESSION).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    rules = frame(list(policy.RULES), "rule_id string, risk string, confidence_cap string, maximum_action string")
+    out = policy.decide(frame(findings, FINDING), rules, held, frame([], FEEDBACK), frame(evidence, EVIDENCE), F.lit("2024-01-01").cast("timestamp"), joined=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    for r in out.collect():
+        f = findings[int(r.finding_id[1:])]
+        said = {policy.REGISTERED + e[3] for e in evidence if e[7] >= f[6] and e[6] <= f[7]}
+        ids = {e[0] for e in evidence for m in said if e[3] in m} | set(f[12] or [])
+        assert (sorted(r.counter_evidence), r.counter_ids) == (sorted(said), ",".join(sorted(ids)))
+
+
 def test_places_are_looked_up_once_for_all_their_findings(spark):
     held = spark.createDataFrame([(1, "r", "a", None, None, None, "x"), (2, "r", None, None, "h", None, "y")], SUPPRESSION).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
     rows = [finding(finding_id=str(k), rule_id="r", file_path="ab"[k % 2], source_hash="h" if k % 3 else None) for k in range(12)] + [finding(finding_id="none", rule_id=None)]
